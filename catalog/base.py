@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.config import Corridor, TripConfig, TzRegion, Waypoint, Zones
+from tripweave.functions.numeric import stable_round
 from tripweave.operators.classify import build_ensemble
 from tripweave.operators.segment import segment
 from tripweave.operators.sequence import enrich, enrich_and_detect
@@ -48,7 +49,42 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One GPS ping per event."""
     ev = events(spark, sf_dir)
     ev.createOrReplaceTempView("_events_of_pings")
-    return spark.sql(_PINGS.format(events="_events_of_pings", epoch="unix_timestamp", string="string", div="div"))
+    return spark.sql(
+        _PINGS.format(events="_events_of_pings", epoch="unix_timestamp", string="string", div="div", extra="")
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw message table: one message per event, the ping inside its JSON payload."""
+    events(spark, sf_dir).createOrReplaceTempView("_events_of_messages")
+    rows = spark.sql(
+        _PINGS.format(
+            events="_events_of_messages", epoch="unix_timestamp", string="string", div="div", extra=_MESSAGE
+        )
+    )
+    payload = F.to_json(
+        F.struct(
+            F.col("msg_type").alias("_type"), F.lit("ph").alias("tid"),
+            F.when(~F.col("no_fix"), F.col("lat")).alias("lat"), "lon", "tst", "acc", "batt",
+            # half of the senders leave the receive time to the receiver
+            F.when(F.col("event_type") != "view", F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("received_at"),
+            F.col("user").alias("_receiver_user"), F.col("device").alias("_receiver_device"),
+            F.col("record_id").alias("event_id"),
+        )
+    )
+    return rows.select(
+        F.col("record_id").alias("id"), F.col("received_at").cast("timestamp").alias("received_at"),
+        "msg_type", "user", "device", payload.alias("payload"),
+    )
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages exported so far: those of the signup events."""
+    done = events(spark, sf_dir).filter("event_type = 'signup'")
+    return done.select(
+        F.col("event_id").alias("id"), F.lit("2024-01-31").cast("timestamp").alias("synced_at"),
+        F.col("ts").cast("timestamp").alias("received_at"),
+    )
 
 
 def enriched(spark, sf_dir) -> DataFrame:
@@ -73,10 +109,17 @@ SELECT event_id AS record_id,
          + 15 * row_number() OVER (PARTITION BY user_id % 10, CAST(ts AS date) ORDER BY ts, event_id) AS tst,
        CASE event_type WHEN 'signup' THEN 40.75e0 WHEN 'purchase' THEN 40.85e0
             ELSE 40.80e0 + (value - floor(value / 8) * 8) * 0.0001e0 END AS lat,
-       CASE event_type WHEN 'signup' THEN -74.0e0 WHEN 'purchase' THEN -73.95e0 ELSE -73.98e0 END AS lon
+       CASE event_type WHEN 'signup' THEN -74.0e0 WHEN 'purchase' THEN -73.95e0 ELSE -73.98e0 END AS lon{extra}
 FROM {events}
 """
 
+# what a raw message adds to a ping: errors are not location messages, a few views lack a latitude
+_MESSAGE = """,
+       ts AS received_at,
+       CASE event_type WHEN 'error' THEN 'transition' ELSE 'location' END AS msg_type,
+       event_type = 'view' AND value < 1 AS no_fix,
+       CAST(floor(value) AS int) % 50 AS acc, 100 - CAST(floor(value) AS int) % 90 AS batt, event_type"""
+
 
 def rnd(expr: str, decimals: int) -> str:
     """Half-up rounding on the decimal value, as Spark's round does for doubles."""
@@ -98,13 +141,19 @@ _WU = f"(PARTITION BY {_ENT} ORDER BY tst, record_id ROWS BETWEEN UNBOUNDED PREC
 _TRIP = f"PARTITION BY {_ENT}, commute_id ORDER BY tst, record_id"
 
 
-def _pings_cte() -> str:
-    sql = _PINGS.format(events="events", epoch="CAST(epoch", string="VARCHAR", div="//")
+def _pings_cte(extra: str = "") -> str:
+    sql = _PINGS.format(events="events", epoch="CAST(epoch", string="VARCHAR", div="//", extra=extra)
     sql = sql.replace("CAST(epoch(date_trunc('day', ts))", "CAST(epoch(date_trunc('day', ts)) AS BIGINT)")
     return sql.replace(" AS user,", ' AS "user",')
 
 
 PINGS_SQL = _pings_cte()
+MESSAGES_SQL = f"SELECT * REPLACE (CASE WHEN no_fix THEN NULL ELSE lat END AS lat) FROM ({_pings_cte(_MESSAGE)})"
+# pings as the pipeline takes them from raw messages
+LOCATED_SQL = (
+    f"SELECT record_id, \"user\", device, tst, lat, lon FROM ({MESSAGES_SQL}) "
+    "WHERE msg_type = 'location' AND lat IS NOT NULL"
+)
 
 ENRICHED_SQL = f"""
 SELECT *, CASE WHEN time_delta_s > 0 THEN distance_m / time_delta_s * 3.6 ELSE 0.0 END AS speed_kmh,
@@ -242,10 +291,17 @@ SELECT * EXCLUDE (cut), CAST(sum(cut) {last} AS BIGINT) AS segment_id FROM (
 """
 
 
-def chain(upto: str, body: str, zones: Zones = Zones(), keep_boundaries: bool = False, **extra: str) -> str:
+def chain(
+    upto: str,
+    body: str,
+    zones: Zones = Zones(),
+    keep_boundaries: bool = False,
+    source: str = PINGS_SQL,
+    **extra: str,
+) -> str:
     """SQL text: the CTEs up to ``upto``, any extra CTEs, then ``body``."""
     steps = {
-        "pings": PINGS_SQL,
+        "pings": source,
         "enriched": ENRICHED_SQL,
         "trips": TRIPS_SQL,
         "variance": VARIANCE_SQL,
@@ -279,3 +335,92 @@ FROM segmented GROUP BY ALL
 
 def with_summaries(body: str, **extra: str) -> str:
     return chain("segmented", body, commutes=COMMUTES_SQL, segments=SEGMENTS_SQL, **extra)
+
+
+# ---------------------------------------------------------------- labels on both sides
+# Log: every second segment of a trip was first called walking, then train; the trips of the
+# first and last day carry labels under a neighbouring date; some ids are not trip ids at all.
+
+
+def label_log(segs: DataFrame) -> DataFrame:
+    day = F.substring("commute_id", 1, 10)
+
+    tagged = segs.select(
+        "*",
+        F.when(
+            F.col("segment_id") == 1,
+            F.array(F.lit("old"), F.lit("new")),
+        )
+        .when((F.col("segment_id") == 0) & (day == "2024-01-30"), F.array(F.lit("late")))
+        .when((F.col("segment_id") == 0) & (day == "2024-01-01"), F.array(F.lit("early")))
+        .when((F.col("segment_id") == 0) & (day == "2024-01-15"), F.array(F.lit("odd")))
+        .when((F.col("segment_id") == 0) & (day == "2024-01-16"), F.array(F.lit("same")))
+        .alias("_kinds"),
+    ).withColumn("_kind", F.explode("_kinds"))
+    kind = F.col("_kind")
+    cid = (
+        F.when(kind == "late", F.concat(F.lit("2024-01-31-"), F.col("commute_direction")))
+        .when(kind == "early", F.concat(F.lit("2023-12-31-"), F.col("commute_direction")))
+        .when(kind == "odd", F.concat(F.lit("trip-"), F.col("commute_id")))
+        .otherwise(F.col("commute_id"))
+    )
+    mode = (
+        F.when(kind == "old", F.lit("walking")).when(kind == "new", F.lit("train")).otherwise(F.col("transport_mode"))
+    )
+    at = F.when(kind == "old", F.lit("2024-02-01 08:00:00")).otherwise(F.lit("2024-02-02 09:30:00"))
+    return tagged.select(
+        "user", "device", cid.alias("commute_id"), "segment_id", F.col("transport_mode").alias("original_mode"),
+        mode.alias("corrected_mode"), kind.alias("notes"), at.cast("timestamp").alias("labeled_at"),
+    )
+
+
+LABELS_SQL = """
+SELECT "user", device,
+       CASE kind WHEN 'late' THEN '2024-01-31-' || commute_direction WHEN 'early' THEN '2023-12-31-' || commute_direction
+                 WHEN 'odd' THEN 'trip-' || commute_id ELSE commute_id END AS commute_id,
+       segment_id, transport_mode AS original_mode,
+       CASE kind WHEN 'old' THEN 'walking' WHEN 'new' THEN 'train' ELSE transport_mode END AS corrected_mode,
+       kind AS notes,
+       CASE kind WHEN 'old' THEN TIMESTAMP '2024-02-01 08:00:00' ELSE TIMESTAMP '2024-02-02 09:30:00' END AS labeled_at
+FROM (SELECT *, unnest(kinds) AS kind FROM (
+  SELECT *, CASE WHEN segment_id = 1 THEN ['old', 'new']
+                 WHEN segment_id = 0 AND commute_id LIKE '2024-01-30%' THEN ['late']
+                 WHEN segment_id = 0 AND commute_id LIKE '2024-01-01%' THEN ['early']
+                 WHEN segment_id = 0 AND commute_id LIKE '2024-01-15%' THEN ['odd']
+                 WHEN segment_id = 0 AND commute_id LIKE '2024-01-16%' THEN ['same'] ELSE [] END AS kinds
+  FROM segments))
+"""
+LIVE_SQL = """
+SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY "user", device, commute_id, segment_id ORDER BY labeled_at DESC) = 1
+"""
+
+
+def with_labels(body: str, **extra: str) -> str:
+    """Summaries, the label log (``log``) and its live rows (``live``), then ``body``."""
+    return with_summaries(body, log=LABELS_SQL, live=LIVE_SQL, **extra)
+
+
+# ---------------------------------------------------------------- plain results
+
+
+def plain(df: DataFrame, decimals: int = 3) -> DataFrame:
+    """Columns in types both engines print alike: rounded doubles, texts for times, bigints."""
+    def cast(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind == "double":
+            return stable_round(c, decimals)
+        if kind == "timestamp" or kind == "timestamp_ntz":
+            return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        if kind == "date":
+            return c.cast("string")
+        if kind in ("int", "smallint", "tinyint"):
+            return c.cast("bigint")
+        if kind == "array<string>":
+            return F.array_join(c, ",")
+        return c
+
+    return df.select(*[cast(n, k).alias(n) for n, k in df.dtypes])
+
+
+def ts(expr: str) -> str:
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"

@@ -16,7 +16,8 @@ from tripweave.functions.timing import day_name, departure_decimal, display_time
 from tripweave.functions.windows import ordered
 from tripweave.operators.labels import latest_labels
 
-_SPAN = minutes_between(F.min("timestamp"), F.max("timestamp"))
+def _span() -> Column:
+    return minutes_between(F.min("timestamp"), F.max("timestamp"))
 
 
 def on_trips(pts: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def commutes(pts: DataFrame, direction: str | None = None, entity: Sequence[str]
         F.max("timestamp").alias("end_time"),
         F.count("*").alias("point_count"),
         F.sum("distance_m").alias("total_distance_m"),
-        stable_round(_SPAN, 1).alias("duration_min"),
+        stable_round(_span(), 1).alias("duration_min"),
     )
 
 
@@ -57,7 +58,7 @@ def segments(
         F.max("timestamp").alias("end_time"),
         F.count("*").alias("point_count"),
         stable_round(F.sum("distance_m"), 0).alias("distance_m"),
-        stable_round(_SPAN, 1).alias("duration_min"),
+        stable_round(_span(), 1).alias("duration_min"),
         stable_round(F.avg("speed_kmh"), 1).alias("avg_speed_kmh"),
         stable_round(F.max("speed_kmh"), 1).alias("max_speed_kmh"),
     )
@@ -66,7 +67,7 @@ def segments(
 def commute_stats(pts: DataFrame, entity: Sequence[str] = ENTITY) -> DataFrame:
     """Trip count and duration statistics per direction, from unrounded durations."""
     per_trip = (
-        on_trips(pts).groupBy(*entity, "commute_id", "commute_direction").agg(_SPAN.alias("minutes"))
+        on_trips(pts).groupBy(*entity, "commute_id", "commute_direction").agg(_span().alias("minutes"))
     )
     # a trip id implies its direction, so rows are already distinct trips
     return per_trip.groupBy("commute_direction").agg(
@@ -385,7 +386,7 @@ def file_summary(pts: DataFrame) -> DataFrame:
         F.count("*").alias("total_points"),
         F.min("timestamp").alias("time_start"),
         F.max("timestamp").alias("time_end"),
-        stable_round(_SPAN, 1).alias("duration_min"),
+        stable_round(_span(), 1).alias("duration_min"),
         stable_round(F.sum("distance_m"), 0).alias("total_distance_m"),
         stable_round(F.max("speed_kmh"), 1).alias("max_speed_kmh"),
         stable_round(F.avg("speed_kmh"), 1).alias("avg_speed_kmh"),

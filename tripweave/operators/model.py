@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripweave.config import ENTITY, MODES, TripConfig
 from tripweave.functions.numeric import stable_round
@@ -72,19 +72,14 @@ class ModeModel:
         if self.tree is None:
             raise ValueError("Model not trained yet")
         self.tree.write().overwrite().save(f"{path}/tree")
-        spark = self.tree._sc  # the context the model lives in
         meta = {
             "version": 1,
             "classes": list(self.metrics.get("per_class", {})),
             "feature_names": list(FEATURE_COLUMNS),
             "metrics": self.metrics,
         }
-        from pyspark.sql import SparkSession
-
-        session = SparkSession.builder.getOrCreate() if spark is None else SparkSession(spark)
-        session.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/metrics"
-        )
+        sidecar = SparkSession.getActiveSession().createDataFrame([(json.dumps(meta),)], "value string")
+        sidecar.coalesce(1).write.mode("overwrite").text(f"{path}/metrics")
 
     @classmethod
     def load(cls, spark, path: str, cfg: TripConfig = TripConfig()) -> "ModeModel":

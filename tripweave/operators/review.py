@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tripweave.config import ENTITY
 from tripweave.functions.modes import mode_mismatch
 from tripweave.functions.numeric import stable_round
+from tripweave.functions.timing import minutes_between
 from tripweave.functions.windows import ordered
-from tripweave.operators.analytics import commutes, on_trips, segments
+from tripweave.operators.analytics import commutes, on_trips
 from tripweave.operators.labels import latest_labels, upsert_labels
 
 
@@ -30,7 +31,7 @@ def review(
         if detail
         else []
     )
-    span = (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / F.lit(60_000_000.0)
+    span = minutes_between(F.min("timestamp"), F.max("timestamp"))
     profile = on_trips(pts).groupBy(*keys, F.col("transport_mode").alias("classified_mode")).agg(
         F.count("*").alias("point_count"),
         stable_round(span, 1).alias("duration_min"),
@@ -139,8 +140,3 @@ def apply_suggestions(
     )
     return upsert_labels(log, applied), left_out
 
-
-__all__ = [
-    "analyze_segment", "apply_suggestions", "flagged", "latest_trips", "patterns", "review", "review_recent",
-    "segments", "suggestions", "trip_counts", "with_neighbours",
-]

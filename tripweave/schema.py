@@ -19,11 +19,14 @@ PAYLOAD = _struct(
     ("received_at", _S), ("_receiver_user", _S), ("_receiver_device", _S),
 )
 
-RAW = _struct(
+_RAW_FIELDS = (
     ("id", _L), ("received_at", T.TimestampType()), ("msg_type", _S), ("user", _S), ("device", _S), ("payload", _S),
 )
+RAW = _struct(*_RAW_FIELDS)
+# as stored: partitioned by the received date
+RAW_STORED = _struct(*_RAW_FIELDS, ("received_date", T.DateType()))
 
-LEDGER = _struct(("id", _L), ("synced_at", T.TimestampType()))
+LEDGER = _struct(("id", _L), ("synced_at", T.TimestampType()), ("received_at", T.TimestampType()))
 
 LABELS = _struct(
     ("user", _S), ("device", _S), ("commute_id", _S), ("segment_id", _L), ("original_mode", _S),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tripweave.schema import LEDGER, PAYLOAD, RAW
-from tripweave.sources.storage import drop_partition, partition_values
+from tripweave.schema import LEDGER, PAYLOAD, RAW_STORED
+from tripweave.sources.storage import drop_partition, partition_values, scratch_path
 
 # keeps one file small enough for a checksum task to hold
 MAX_RECORDS_PER_FILE = 500_000
@@ -27,24 +27,26 @@ def read_raw_jsonl(spark: SparkSession, path: str, since: str | None = None, unt
     kept and marked. ``since``/``until`` compare with the date in the file or folder name.
     """
     try:
-        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*[!6]").text(path)
+        lines = spark.read.option("recursiveFileLookup", "true").text(path)
     except AnalysisException as error:
         if not _missing(error):
             raise
         lines = spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
     # Fixed value: date in a day file's or day folder's name.
     date = F.regexp_extract("_metadata.file_path", r"(\d{4}-\d{2}-\d{2})[^/]*(?:/[^/]*)?$", 1)
+    # checksum sidecars may lie beside the day files
+    lines = lines.filter(~F.col("_metadata.file_path").endswith(".sha256"))
     lines = lines.select(F.trim("value").alias("payload"), date.alias("file_date")).filter("payload != ''")
     if since:
         lines = lines.filter(F.col("file_date") >= since)
     if until:
         lines = lines.filter(F.col("file_date") <= until)
-    return lines.withColumn("is_valid", F.coalesce(F.col("payload").startswith("{") & is_json("payload"), F.lit(False)))
+    return lines.withColumn("is_valid", is_json_object("payload"))
 
 
-def is_json(column: str) -> Column:
+def is_json_object(column: str) -> Column:
     """Well-formed JSON object."""
-    return F.expr(f"try_parse_json(`{column}`) is not null")
+    return F.json_object_keys(column).isNotNull()
 
 
 def with_received_at(payload: str, now: Column) -> Column:
@@ -79,11 +81,11 @@ def write_records(raw: DataFrame, path: str) -> None:
 
 def raw_table(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(RAW.add("received_date", "date")).parquet(path)
+        return spark.read.schema(RAW_STORED).parquet(path)
     except AnalysisException as error:
         if not _missing(error):
             raise
-        return spark.createDataFrame([], RAW).withColumn("received_date", F.to_date("received_at"))
+        return spark.createDataFrame([], RAW_STORED)
 
 
 def read_raw_records(
@@ -164,13 +166,12 @@ def raw_count(
 
 
 def ledger_table(spark: SparkSession, path: str) -> DataFrame:
-    schema = LEDGER.add("received_at", "timestamp")
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(LEDGER).parquet(path)
     except AnalysisException as error:
         if not _missing(error):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], LEDGER)
 
 
 def unsynced(raw: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -207,8 +208,6 @@ def export_unsynced(raw: DataFrame, ledger_path: str, path: str, limit: int | No
     The batch is written to the ledger's staging folder first and both steps read that
     copy, so messages that arrive meanwhile cannot slip between export and stamp.
     """
-    from tripweave.sources.storage import scratch_path
-
     spark = raw.sparkSession
     staged_at = scratch_path(spark, "export")
     export_batch(raw, ledger_table(spark, ledger_path), limit).write.parquet(staged_at)

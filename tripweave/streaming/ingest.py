@@ -7,17 +7,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripweave.config import ENTITY, TripConfig, Zones
 from tripweave.plans.process import drop_malformed, process
-from tripweave.schema import PAYLOAD, RAW
+from tripweave.schema import PAYLOAD, RAW_STORED
 from tripweave.sources.points import merge_points
-from tripweave.sources.raw import is_json, parse_payload, raw_table, read_raw_records, with_received_at
+from tripweave.sources.raw import is_json_object, parse_payload, raw_table, read_raw_records, with_received_at
 
 
 def received_messages(lines: DataFrame) -> DataFrame:
     """Message rows from text lines; text that is not a JSON object is kept as quarantine."""
     now = F.current_timestamp()
     lines = lines.select(F.trim("value").alias("value")).filter("value != ''")
-    good = F.col("value").startswith("{") & is_json("value")
-    lines = lines.withColumn("_good", F.coalesce(good, F.lit(False))).withColumn(
+    lines = lines.withColumn("_good", is_json_object("value")).withColumn(
         "_p", F.when(F.col("_good"), F.from_json("value", PAYLOAD))
     )
     return lines.select(
@@ -118,6 +117,6 @@ def start_incremental_rebuild(
         if not batch.isEmpty():
             refresh(session, batch, raw_table(session, raw_dir), out, cfg, labels, zones, buckets)
 
-    stream = spark.readStream.schema(RAW.add("received_date", "date")).parquet(raw_dir)
+    stream = spark.readStream.schema(RAW_STORED).parquet(raw_dir)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
