@@ -364,11 +364,11 @@ def ingest_i1(spark, sf):
 
 @register("incremental_rebuild_i2", chain("segmented", _STORED, source=LOCATED_SQL, allp=_ALL))
 def incremental_rebuild_i2(spark, sf):
-    """Messages arrive in two batches, the second one late and out of order."""
+    """Messages arrive in three batches, the later ones late and out of order."""
     table, out, check = scratch_path(spark, "messages"), scratch_path(spark, "points"), scratch_path(spark, "stream")
     rows = messages(spark, sf)
-    late = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
-    for part in (rows.filter(~late), rows.filter(late)):
+    batch = F.pmod(F.xxhash64("id"), F.lit(3))
+    for part in (rows.filter(batch == n) for n in (0, 1, 2)):
         raw.write_records(part, table)
         ingest.start_incremental_rebuild(spark, table, out, check, CFG, available_now=True).awaitTermination()
     return plain(store.points_table(spark, out).select(*_STORED_COLS))

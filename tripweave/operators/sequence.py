@@ -47,6 +47,11 @@ def _with_geofences(pts: DataFrame, cfg: TripConfig) -> DataFrame:
     ).withColumn("_zone", F.col("at_home").cast("int") * _HOME + F.col("at_work").cast("int") * _WORK)
 
 
+def locate(pts: DataFrame, cfg: TripConfig, tz_regions=None, entity: Sequence[str] = ENTITY) -> DataFrame:
+    """Everything about a point that needs no neighbour: UTC and local time, date, geofences."""
+    return _with_geofences(_localised(pts, cfg, tz_regions, entity), cfg).drop("_zone")
+
+
 def _shard_edges(pts: DataFrame, entity: Sequence[str]) -> DataFrame:
     """Per shard: the last point of the shard before it. Needs no ordering of rows."""
     by = [*entity, "_shard"]

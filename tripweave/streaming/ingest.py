@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tripweave.config import ENTITY, TripConfig, Zones
-from tripweave.plans.process import drop_malformed, process
+from tripweave.plans.incremental import refresh
+from tripweave.plans.process import drop_malformed
 from tripweave.schema import PAYLOAD, RAW_STORED
-from tripweave.sources.points import merge_points
-from tripweave.sources.raw import is_json_object, parse_payload, raw_table, read_raw_records, with_received_at
+from tripweave.sources.raw import is_json_object, parse_payload, with_received_at
 
 
 def received_messages(lines: DataFrame) -> DataFrame:
@@ -63,37 +63,6 @@ def deduplicated(messages: DataFrame, delay: str = "1 day") -> DataFrame:
     return located.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark([*ENTITY, "tst"])
 
 
-def refresh(
-    spark: SparkSession,
-    new: DataFrame,
-    raw: DataFrame,
-    out: str,
-    cfg: TripConfig,
-    labels: DataFrame | None = None,
-    zones: Zones = Zones(),
-    buckets: int = 1,
-    neighbour_days: int = 1,
-) -> None:
-    """Recompute the days the new messages touch, plus their neighbours.
-
-    Points are read one day further out than the days replaced, so that the first replaced
-    day still sees the points before it. Days are keyed by entity: nobody else is redone.
-    """
-    located = drop_malformed(parse_payload(read_raw_records(new)))
-    day = F.to_date(F.from_utc_timestamp(F.timestamp_seconds("tst"), cfg.default_tz))
-    touched = located.select(*ENTITY, day.alias("day")).distinct()
-
-    def spread(days: int) -> DataFrame:
-        return touched.select(
-            *ENTITY, F.explode(F.expr(f"sequence(date_sub(day, {days}), date_add(day, {days}))")).alias("local_date")
-        ).distinct()
-
-    context = spread(neighbour_days + 1)
-    history = drop_malformed(parse_payload(read_raw_records(raw))).withColumn("local_date", day)
-    history = history.join(context, [*ENTITY, "local_date"], "left_semi").drop("local_date")
-    merge_points(spark, process(history, labels, zones, cfg), spread(neighbour_days), out, buckets)
-
-
 def start_incremental_rebuild(
     spark: SparkSession,
     raw_dir: str,
@@ -102,20 +71,18 @@ def start_incremental_rebuild(
     cfg: TripConfig,
     labels: DataFrame | None = None,
     zones: Zones = Zones(),
+    tz_regions=None,
     buckets: int = 1,
     available_now: bool = False,
     interval: str = "5 minutes",
 ) -> StreamingQuery:
     """Keep the derived store current while messages arrive.
 
-    Each micro-batch replaces whole (entity, date) keys from the message table, so a batch
-    replayed after a failure writes the same result.
+    A micro-batch replayed after a failure leaves the same store (see ``refresh``).
     """
 
     def on_batch(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        if not batch.isEmpty():
-            refresh(session, batch, raw_table(session, raw_dir), out, cfg, labels, zones, buckets)
+        refresh(batch.sparkSession, batch, out, cfg, labels, zones, tz_regions, buckets)
 
     stream = spark.readStream.schema(RAW_STORED).parquet(raw_dir)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
