@@ -95,7 +95,8 @@ class WaypointClassifier:
             }
             return pts.withColumn(out, score_array(**votes))
         pts = with_zone_candidates(pts, waypoint_circles(pts.sparkSession, hinted), "_hits")
-        votes = {m: F.when(F.exists("_hits", lambda z, m=m: z["mode"] == m), 1.0) for m in MODES}
+        hints = F.transform("_hits", lambda z: z["mode"])
+        votes = {m: F.when(F.array_contains(hints, m), 1.0) for m in MODES}
         return pts.withColumn(out, score_array(**votes)).drop("_hits")
 
     def with_zone_set(self, pts: DataFrame, out: str) -> DataFrame:
