@@ -160,7 +160,7 @@ def test_apply_suggestions_splits_by_confidence(spark):
     assert rows_of(skipped, "segment_id", "skip_reason") == [("1", "confidence 0.6 < 0.7")]
 
 
-@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (1, 2, 0)])
+@pytest.mark.parametrize("order", [(2, 0, 1), (1, 2, 0)])
 def test_incremental_refresh_equals_rebuild(spark, tmp_path, order):
     """Trips over several days, arriving in any order, replayed once."""
     whole = messages(spark, "hoo" + "o" * 6 + "whoowoh" + "ooh", step=30_000, user="a").unionByName(
@@ -168,7 +168,7 @@ def test_incremental_refresh_equals_rebuild(spark, tmp_path, order):
     )
     out, full = str(tmp_path / "points"), str(tmp_path / "full")
     for part in (*order, order[1]):
-        refresh(spark, whole.filter(F.col("id") % 3 == part), out, CFG, buckets=2)
+        refresh(spark, whole.filter(F.col("id") % 3 == part), out, CFG, buckets=2, lookback_days=2)
     P.rebuild(spark, whole, full, CFG, buckets=2)
     assert rows_of(store.points_table(spark, out), *STORED) == rows_of(store.points_table(spark, full), *STORED)
 

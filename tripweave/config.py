@@ -46,7 +46,7 @@ class TripConfig:
     keep_forced_boundaries: bool = False
     # Sequence windows never see more of one entity than this many seconds, so an
     # entity that owns a third of the data still spreads over many tasks.
-    shard_seconds: int = 6 * 3600
+    shard_seconds: int = 3600
 
     def with_(self, **changes) -> "TripConfig":
         return replace(self, **changes)

@@ -52,8 +52,8 @@ class SpeedClassifier:
     name: str = "speed"
 
     def score(self, pts, by, out):
-        mode = mode_by_speed("speed_kmh", self.cfg)
-        return pts.withColumn(out, score_array(**{m: F.when(mode == m, 1.0) for m in MODES}))
+        pts = pts.withColumn("_rule", mode_by_speed("speed_kmh", self.cfg))
+        return pts.withColumn(out, score_array(**{m: F.when(F.col("_rule") == m, 1.0) for m in MODES})).drop("_rule")
 
 
 @dataclass(frozen=True)
@@ -163,19 +163,19 @@ class Ensemble:
     def classify_with_confidence(
         self, pts: DataFrame, by: Sequence[str], out: str = "mode", scores_out: str = "mode_scores"
     ) -> DataFrame:
-        votes = []
-        for i, (classifier, _) in enumerate(self.entries):
-            pts = classifier.score(pts, by, f"_score_{i}")
-        for k in range(len(MODES)):
+        parts = [f"_score_{i}" for i in range(len(self.entries))]
+        for part, (classifier, _) in zip(parts, self.entries):
+            pts = classifier.score(pts, by, part)
+        totals = {}
+        for k, mode in enumerate(MODES):
             total = F.lit(0.0)
-            for i, (_, weight) in enumerate(self.entries):
-                total = total + F.col(f"_score_{i}")[k] * F.lit(float(weight))
-            votes.append(total)
-        pts = pts.withColumn(scores_out, F.array(*votes)).drop(*[f"_score_{i}" for i in range(len(self.entries))])
-        ranked = [F.col(scores_out)[k] for k in range(len(MODES))]
-        best = F.greatest(*ranked)
-        winner = F.coalesce(*[F.when(score == best, mode) for mode, score in zip(MODES, ranked)])
-        return pts.withColumn(out, winner)
+            for part, (_, weight) in zip(parts, self.entries):
+                total = total + F.col(part)[k] * F.lit(float(weight))
+            totals[f"_vote_{mode}"] = total
+        # columns of their own, or every comparison below would sum the votes again
+        pts = pts.withColumns(totals).withColumn("_best", F.greatest(*totals))
+        winner = F.coalesce(*[F.when(F.col(f"_vote_{mode}") == F.col("_best"), mode) for mode in MODES])
+        return pts.withColumns({out: winner, scores_out: F.array(*totals)}).drop(*parts, *totals, "_best")
 
     def classify(self, pts: DataFrame, by: Sequence[str], out: str = "mode") -> DataFrame:
         return self.classify_with_confidence(pts, by, out, "_scores").drop("_scores")

@@ -28,11 +28,17 @@ def smooth_modes(
     near = {f"_m{i}": F.lag(mode, -i).over(w) for i in (-3, -2, -1, 1, 2, 3)}
     pts = pts.withColumns(near)
     window = [F.col("_m-2"), F.col("_m-1"), F.col(mode), F.col("_m1"), F.col("_m2")]
-    counts = [reduce(add, [(other == this).cast("int") for other in window]) for this in window]
-    majority = F.coalesce(*[F.when(n == F.greatest(*counts), m) for m, n in zip(window, counts)])
+    # votes and their maximum are columns of their own: inlined, they would be recomputed per branch
+    votes = {
+        f"_n{k}": reduce(add, [(other == this).cast("int") for other in window]) for k, this in enumerate(window)
+    }
+    pts = pts.withColumns(votes).withColumn("_top", F.greatest(*votes))
+    majority = F.coalesce(*[F.when(F.col(n) == F.col("_top"), m) for n, m in zip(votes, window)])
     inside = F.col("_m-2").isNotNull() & F.col("_m2").isNotNull()
     more_than_five = F.col("_m-3").isNotNull() | F.col("_m3").isNotNull()
-    return pts.withColumn(out or mode, F.when(inside & more_than_five, majority).otherwise(F.col(mode))).drop(*near)
+    return pts.withColumn(out or mode, F.when(inside & more_than_five, majority).otherwise(F.col(mode))).drop(
+        *near, *votes, "_top"
+    )
 
 
 def assign_segment_ids(

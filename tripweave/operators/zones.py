@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tripweave.config import Corridor, TzRegion, Waypoint
+from tripweave.config import ENTITY, Corridor, TzRegion, Waypoint
 from tripweave.functions.geo import degree_margin, haversine_m
 from tripweave.schema import _D, _S, _struct
 
@@ -124,7 +124,7 @@ def points_in_waypoints(pts: DataFrame, waypoints: Sequence[Waypoint]) -> DataFr
     return _zone_join(pts, waypoint_circles(pts.sparkSession, waypoints))
 
 
-def points_in_corridors(pts: DataFrame, corridors: Sequence[Corridor], key: Sequence[str] = ("record_id",)) -> DataFrame:
+def points_in_corridors(pts: DataFrame, corridors: Sequence[Corridor], key: Sequence[str] = (*ENTITY, "record_id")) -> DataFrame:
     """One row per (point, corridor) within the buffer: nearest distance and confidence."""
     nearest = _zone_join(pts, corridor_circles(pts.sparkSession, corridors)).groupBy(
         *key, "zone", "mode", "radius_m"

@@ -27,25 +27,23 @@ COMPUTED = (
 )
 
 
-def affected_spans(stored: DataFrame, fresh: DataFrame, entity: Sequence[str] = ENTITY) -> DataFrame:
-    """Per entity with fresh points: the dates whose trips may change (``day_lo``..``day_hi``)
-    and the zone points that enclose them (``from_tst``, ``to_tst``; null = open end).
+_SPAN = ("day_lo", "day_hi", "from_tst", "to_tst")
 
-    Each step is a grouped min/max over narrow columns of the touched entities.
-    """
-    def narrow(pts: DataFrame) -> DataFrame:
-        return pts.select(*entity, "tst", "local_date", (F.col("at_home") | F.col("at_work")).alias("_in_zone"))
 
-    touched = fresh.groupBy(*entity).agg(F.min("tst").alias("_t0"), F.max("tst").alias("_t1"))
-    marks = narrow(stored).unionByName(narrow(fresh))
+def _spans(touched: DataFrame, marks: DataFrame, entity: Sequence[str]) -> DataFrame:
+    """Affected dates and enclosing zone points of the ``touched`` entities.
+
+    Each step is a grouped min/max over narrow columns with map-side combine.
+    """
     tst, zone_at, key = F.col("tst"), F.when(F.col("_in_zone"), F.col("tst")), list(entity)
 
     def measure(spans: DataFrame, **aggregates: Column) -> DataFrame:
         kept = [c for c in spans.columns if c not in key]
-        found = marks.join(spans, key).groupBy(*key).agg(
-            *[F.any_value(c).alias(c) for c in kept], *[a.alias(n) for n, a in aggregates.items()]
+        return (
+            marks.join(spans, key)
+            .groupBy(*key)
+            .agg(*[F.any_value(c).alias(c) for c in kept], *[a.alias(n) for n, a in aggregates.items()])
         )
-        return found
 
     spans = measure(
         touched, _p=F.max(F.when(tst < F.col("_t0"), zone_at)), _q=F.min(F.when(tst > F.col("_t1"), zone_at))
@@ -59,10 +57,39 @@ def affected_spans(stored: DataFrame, fresh: DataFrame, entity: Sequence[str] =
         _s=F.min(F.when(F.col("local_date") >= F.col("day_lo"), tst)),
         _e=F.max(F.when(F.col("local_date") <= F.col("day_hi"), tst)),
     )
-    spans = measure(
+    return measure(
         spans, from_tst=F.max(F.when(tst < F.col("_s"), zone_at)), to_tst=F.min(F.when(tst > F.col("_e"), zone_at))
     )
-    return spans.select(*entity, "day_lo", "day_hi", "from_tst", "to_tst")
+
+
+def affected_spans(
+    stored: DataFrame, fresh: DataFrame, lookback_days: int = 7, entity: Sequence[str] = ENTITY
+) -> DataFrame:
+    """Per entity with fresh points: the dates whose trips may change (``day_lo``..``day_hi``)
+    and the zone points that enclose them (``from_tst``, ``to_tst``; null = open end).
+
+    Recent points are answered from the latest partitions; only entities with older points,
+    or without a zone point in that window, look through the whole store.
+    """
+    def narrow(pts: DataFrame) -> DataFrame:
+        return pts.select(*entity, "tst", "local_date", (F.col("at_home") | F.col("at_work")).alias("_in_zone"))
+
+    touched = fresh.groupBy(*entity).agg(
+        F.min("tst").alias("_t0"), F.max("tst").alias("_t1"), F.min("local_date").alias("_first")
+    ).checkpoint()
+    newest = fresh.agg(F.max("local_date")).first()[0]
+    recent = F.col("_first") >= F.date_sub(F.lit(newest), lookback_days)
+    window = stored.filter(F.col("local_date") >= F.date_sub(F.lit(newest), 2 * lookback_days))
+    near = _spans(touched.filter(recent), narrow(window).unionByName(narrow(fresh)), entity).checkpoint()
+    # dates and instants disagree by up to a day where an entity changes time zone, so an
+    # anchor right at the window's edge does not count
+    edge = F.unix_timestamp(F.date_sub(F.lit(newest), 2 * lookback_days - 2).cast("timestamp"))
+    anchored = near.filter(F.col("from_tst") >= edge).select(*entity, *_SPAN)
+    far = touched.join(anchored, list(entity), "left_anti")
+    if far.isEmpty():
+        return anchored
+    whole = _spans(far, narrow(stored).unionByName(narrow(fresh)), entity)
+    return anchored.unionByName(whole.select(*entity, *_SPAN))
 
 
 def _in_context() -> Column:
@@ -87,6 +114,7 @@ def refresh(
     zones: Zones = Zones(),
     tz_regions=None,
     buckets: int = 1,
+    lookback_days: int = 7,
     entity: Sequence[str] = ENTITY,
 ) -> None:
     """Fold new messages into the derived store at ``out``.
@@ -99,17 +127,17 @@ def refresh(
     if fresh.isEmpty():
         return
     stored = points_table(spark, out)
-    spans = affected_spans(stored, fresh, entity).checkpoint()
+    spans = affected_spans(stored, fresh, lookback_days, entity).checkpoint()
     key, point = list(entity), [*entity, "record_id", "tst"]
 
     known = stored.join(fresh.select(*point), point, "left_anti").join(spans, key).filter(_in_context())
     context = (
-        known.drop(*COMPUTED, "day_lo", "day_hi", "from_tst", "to_tst")
+        known.drop(*COMPUTED, *_SPAN)
         .unionByName(fresh.drop(*COMPUTED), allowMissingColumns=True)
     )
     redone = process(context, labels, zones, cfg, tz_regions, entity=entity)
     # written once to the checkpoint folder: the partitions touched and the rows are both read from it
-    redone = redone.join(spans, key).filter(_replaced()).drop("day_lo", "day_hi", "from_tst", "to_tst").checkpoint()
+    redone = redone.join(spans, key).filter(_replaced()).drop(*_SPAN).checkpoint()
 
     touched = with_bucket(redone, buckets, entity).select(*PARTITIONS).distinct()
     stale = F.coalesce(_replaced(), F.lit(False))
@@ -117,6 +145,6 @@ def refresh(
         stored.join(touched, list(PARTITIONS), "left_semi")
         .join(spans, key, "left")
         .filter(F.col("day_lo").isNull() | ~stale)
-        .drop("day_lo", "day_hi", "from_tst", "to_tst")
+        .drop(*_SPAN)
     )
     write_points(redone.unionByName(carried, allowMissingColumns=True), out, buckets, "dynamic", entity)

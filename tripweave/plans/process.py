@@ -12,7 +12,7 @@ from tripweave.functions.timing import day_bounds_utc
 from tripweave.operators.classify import Ensemble, build_ensemble
 from tripweave.operators.labels import apply_corrections, migrate_labels
 from tripweave.operators.segment import segment
-from tripweave.operators.sequence import enrich_and_detect
+from tripweave.operators.sequence import enrich_and_detect, locate
 from tripweave.sources.points import clean_range, merge_points, points_table, write_points
 from tripweave.sources.raw import from_jsonl, parse_payload, read_raw_jsonl, read_raw_records
 
@@ -105,7 +105,7 @@ def rebuild(
     if points.isEmpty():
         return {**summary, "labels": labels}
     if filters.user or filters.device:
-        days = enrich_and_detect(points, cfg, tz_regions).select(*ENTITY, "local_date").distinct()
+        days = locate(points, cfg, tz_regions).select(*ENTITY, "local_date").distinct()
         merge_points(spark, processed, days, out, buckets)
     else:
         write_points(processed, out, buckets)
