@@ -136,3 +136,8 @@ def test_zone_config(tmp_path, monkeypatch):
     assert load_zones() == Zones()
     assert [m.name for m, _ in C.build_ensemble(zones).entries] == ["speed", "speed_variance", "waypoint", "corridor"]
     assert len(C.build_ensemble().entries) == 2
+
+
+def test_zones_for_unknown_modes_are_dropped_with_a_warning():
+    with pytest.warns(UserWarning, match="flying"):
+        C.build_ensemble(Zones(corridors=(Corridor("x", "flying", ((0.0, 0.0),)),)))

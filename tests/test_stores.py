@@ -6,7 +6,7 @@ from tripweave.operators import labels as L, review as R
 from tripweave.plans import process as P, sql as Q
 from tripweave.plans.incremental import refresh
 from tripweave.schema import LABELS
-from tripweave.sources import checksums, points as store, raw
+from tripweave.sources import checksums, label_log, points as store, raw
 
 LABEL = "user string, device string, commute_id string, segment_id long, original_mode string, corrected_mode string, notes string, labeled_at timestamp"
 
@@ -198,3 +198,18 @@ def test_query_with_parameters(spark):
     got = Q.query(spark, "SELECT count(*) AS n FROM commute_data WHERE commute_direction = :way", {"way": "morning"})
     assert got.first()["n"] == 5
     assert Q.query(spark, "SELECT count(*) AS n FROM commutes").first()["n"] == 1
+
+
+def test_label_log_on_disk(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    assert label_log.labels_table(spark, path).count() == 0
+    new = spark.createDataFrame(
+        [("u", "d", "2024-03-26-morning", 1, "train", "driving")],
+        "user string, device string, commute_id string, segment_id int, original_mode string, corrected_mode string",
+    )
+    label_log.append_labels(new, path, F.lit("2024-04-01"))
+    label_log.append_labels(new.withColumn("corrected_mode", F.lit("walking")), path, F.lit("2024-04-02"))
+    log = label_log.labels_table(spark, path)
+    assert log.count() == 2 and rows_of(L.latest_labels(log), "corrected_mode", "notes") == [("walking", "")]
+    label_log.compact_labels(spark, path, str(tmp_path / "compact"))
+    assert label_log.labels_table(spark, str(tmp_path / "compact")).count() == 1

@@ -6,6 +6,13 @@ from pyspark.sql import Column, functions as F
 
 from tripweave.config import MODE_SPEED_RANGES, MOVING_MODES, TripConfig
 
+# Texts of a review verdict.
+UNKNOWN_MODE = "unknown mode"
+CONSISTENT = "speed profile consistent with mode"
+TRANSFER = "stationary between %s and %s — likely a transfer"
+OUT_OF_RANGE = "avg speed %s km/h outside %s range (%s-%s)"
+TOP_SPEED = ", max %s km/h"
+
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
@@ -77,19 +84,15 @@ def mode_mismatch(mode, avg_speed, max_speed, speed_std, prev_mode, next_mode) -
     overshoot = F.when(avg < lo, (lo - avg) / F.greatest(lo, F.lit(1))).otherwise((avg - hi) / F.greatest(hi, F.lit(1)))
     confidence = F.round(F.round(F.least(F.lit(0.95), F.lit(0.5) + overshoot * 0.5), 6), 2)
     reason = F.concat(
-        F.lit("avg speed "), avg.cast("string"), F.lit(" km/h outside "), mode,
-        F.lit(" range ("), lo.cast("string"), F.lit("-"), hi.cast("string"), F.lit(")"),
-        F.when(top > 0, F.concat(F.lit(", max "), top.cast("string"), F.lit(" km/h"))).otherwise(F.lit("")),
+        F.format_string(OUT_OF_RANGE, avg.cast("string"), mode, lo.cast("string"), hi.cast("string")),
+        F.when(top > 0, F.format_string(TOP_SPEED, top.cast("string"))).otherwise(F.lit("")),
     )
     return (
-        F.when(mode.isNull() | ~mode.isin(*MODE_SPEED_RANGES), verdict(False, F.lit(0), none, F.lit("unknown mode")))
+        F.when(mode.isNull() | ~mode.isin(*MODE_SPEED_RANGES), verdict(False, F.lit(0), none, F.lit(UNKNOWN_MODE)))
         .when(
             avg.between(lo, hi) & F.coalesce(transfer, F.lit(False)),
-            verdict(
-                True, F.lit(0.8), F.lit("waiting"),
-                F.concat(F.lit("stationary between "), prev_mode, F.lit(" and "), next_mode, F.lit(" — likely a transfer")),
-            ),
+            verdict(True, F.lit(0.8), F.lit("waiting"), F.format_string(TRANSFER, prev_mode, next_mode)),
         )
-        .when(avg.between(lo, hi), verdict(False, F.lit(0), none, F.lit("speed profile consistent with mode")))
+        .when(avg.between(lo, hi), verdict(False, F.lit(0), none, F.lit(CONSISTENT)))
         .otherwise(verdict(True, confidence, suggest_mode(avg, top, std), reason))
     )

@@ -7,6 +7,7 @@ models and receives Arrow batches.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -197,6 +198,9 @@ class Ensemble:
 
 def build_ensemble(zones: Zones = Zones(), cfg: TripConfig = TripConfig()) -> Ensemble:
     """Speed and speed variance always; waypoints and corridors when configured."""
+    unknown = {w.mode_hint for w in zones.waypoints if w.mode_hint} | {c.mode for c in zones.corridors}
+    if unknown - set(MODES):
+        warnings.warn(f"zones vote for unknown modes and are ignored: {sorted(unknown - set(MODES))}", stacklevel=2)
     members: list[Classifier] = [SpeedClassifier(cfg), SpeedVarianceClassifier(cfg)]
     if zones.waypoints:
         members.append(WaypointClassifier(zones.waypoints))
