@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose encoding a Python worker remembers; a bound on memory, not on results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 NEVER = np.iinfo(np.int32).max
 #: Bytes of the longest word that is merged in a matrix of all failing words; longer ones go through a heap.
 MATRIX_BYTES = 32
@@ -315,12 +315,16 @@ def decode(rows: DataFrame, vocab_path: str, ids: str = "ids", text: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(vocab_path)
         for batch in batches:
-            yield _put(batch, text, pa.array([bpe.decode(r or ()) for r in batch.column(ids).to_pylist()], pa.string()))
+            column = batch.column(ids).cast(pa.list_(pa.int32()))
+            flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            rows = ((flat[i:j] if ok else flat[:0]) for i, j, ok in zip(offsets[:-1], offsets[1:], known, strict=True))
+            yield _put(batch, text, pa.array((bpe.decode(r.tolist()) for r in rows), pa.string(), size=len(column)))
 
     return rows.mapInArrow(run, _with(rows, text, T.StringType()))
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about ``most`` bytes of text each."""
     sizes = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
     low = 0
