@@ -22,3 +22,29 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+al AS (SELECT doc_id, p AS line_no, ls[p] AS line, len(regexp_extract_all(ls[p], '[^\x20\x09-\x0D]+')) AS n_words
+       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM d)),
+l AS (
+  SELECT doc_id, line_no, line, n_words, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq,
+         sum(n_words) OVER (PARTITION BY doc_id ORDER BY line_no) AS upto
+  FROM al WHERE n_words > 0),
+w AS (SELECT doc_id, list(line ORDER BY seq) AS lines FROM l GROUP BY doc_id),
+r AS (
+  SELECT x.doc_id, x.seq AS start, min(y.seq) - x.seq + 1 AS n
+  FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.seq >= x.seq AND y.upto - x.upto + x.n_words >= 50 GROUP BY x.doc_id, x.seq
+  UNION
+  SELECT y.doc_id, max(x.seq) AS start, y.seq - max(x.seq) + 1 AS n
+  FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.seq >= x.seq AND y.upto - x.upto + x.n_words >= 50 GROUP BY y.doc_id, y.seq),
+t AS (SELECT doc_id, start, n, array_to_string(lines[start:start + n - 1], chr(10)) AS run FROM r JOIN w USING (doc_id)),
+f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(start) OVER o AS fs
+      FROM t WINDOW o AS (PARTITION BY n, run ORDER BY doc_id, start)),
+g AS (SELECT DISTINCT doc_id, unnest(range(start, start + n)) AS seq FROM f WHERE doc_id <> fd OR start >= fs + n),
+gl AS (SELECT doc_id, line_no FROM g JOIN l USING (doc_id, seq)),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gl GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS rest FROM al ANTI JOIN gl USING (doc_id, line_no) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n_removed IS NULL THEN d.text ELSE coalesce(rest, '') END AS text, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

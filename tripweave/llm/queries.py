@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import bpe, decontaminate
+from tripweave.llm import bpe, decontaminate, lines
 from tripweave.llm import oracles as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"),
     )
+
+
+@register(sql.LINE_DEDUP)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text that is left, and how many lines went."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, removed="n_removed")
