@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import bpe, decontaminate, lines
+from tripweave.llm import bpe, decontaminate, lines, neardup
 from tripweave.llm import oracles as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text that is left, and how many lines went."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, removed="n_removed")
+
+
+@register(sql.NEAR_DUPLICATES)
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, at_least=80)
