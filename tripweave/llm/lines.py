@@ -157,4 +157,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None
     out = [text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
     if removed:
         out.append(F.coalesce(F.size("g.gone"), F.lit(0)).cast("long").alias(removed))
-    return d.join(g, on, "left").select(*out)
+    # the deletions grow with the documents, so they are not for broadcasting at any size
+    return d.join(g.hint("merge"), on, "left").select(*out)
