@@ -3,23 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tripweave.llm import decontaminate, lines, neardup, toxicity
 from tripweave.llm import queries as q
 from tripweave.sources.storage import stage
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold, by a model of these documents and the labels table."""
+    model = toxicity.fit(docs, q.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(F.col("score") < q.THRESHOLD).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages of whole lines go; every document stays, n_chars follows the text."""
+    left = lines.dedup_lines(docs, removed="n_removed")
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).drop("n_removed")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group stays."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def decontaminate_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark text go."""
+    return decontaminate.clean(docs, q.table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and checksums of what is left."""
     return q.bpe_digests(docs)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate_),
+    ("bpe", encode),
+]
 
 #: Stages learn a model and encode with a vocabulary, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")

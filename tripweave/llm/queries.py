@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import bpe, decontaminate, lines, neardup
+from tripweave.llm import bpe, decontaminate, lines, neardup, toxicity
 from tripweave.llm import oracles as sql
+from tripweave.llm.sampling import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +66,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(sql.NEAR_DUPLICATES)
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, at_least=80)
+
+
+#: A document is taken for toxic, or for good, from this score on.
+THRESHOLD = 0.3
+
+
+@register()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
