@@ -46,5 +46,6 @@ def test_frame_round_trip_with_nulls_repeats_and_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     got = bpe.decode(bpe.encode(docs, PATH), PATH)
     assert got.count() == 5
+    assert sorted(map(str, bpe.encode(docs, PATH, decoded="decoded").collect())) == sorted(map(str, got.collect()))
     assert got.filter(F.coalesce("text", F.lit("")) != F.col("decoded")).count() == 0
     assert bpe.digests(bpe.decode(bpe.encode(docs.limit(0), PATH), PATH)).count() == 0

@@ -294,8 +294,14 @@ def _put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), values], [*names, name])
 
 
-def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the token ids of every text. ``vocab_path`` must be readable on the executors."""
+def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the token ids of every text and, on request, the text decoded from them in the same pass.
+
+    ``vocab_path`` must be readable on the executors.
+    """
+    schema = _with(docs, ids, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = T.StructType([*(f for f in schema.fields if f.name != decoded), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(vocab_path)
@@ -304,9 +310,17 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids
                 rows = bpe.encode([t or "" for t in part.column(text).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-                yield _put(part, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
+                part = _put(part, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
+                yield _put(part, decoded, _texts(bpe, part.column(ids))) if decoded else part
+
+    return docs.mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(run, _with(docs, ids, T.ArrayType(T.IntegerType())))
+def _texts(bpe: ByteBpe, column: pa.ListArray) -> pa.Array:
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    rows = ((flat[i:j] if ok else flat[:0]) for i, j, ok in zip(offsets[:-1], offsets[1:], known, strict=True))
+    return pa.array((bpe.decode(r.tolist()) for r in rows), pa.string(), size=len(column))
 
 
 def decode(rows: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -315,11 +329,7 @@ def decode(rows: DataFrame, vocab_path: str, ids: str = "ids", text: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(vocab_path)
         for batch in batches:
-            column = batch.column(ids).cast(pa.list_(pa.int32()))
-            flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-            known = column.is_valid().to_numpy(zero_copy_only=False)
-            rows = ((flat[i:j] if ok else flat[:0]) for i, j, ok in zip(offsets[:-1], offsets[1:], known, strict=True))
-            yield _put(batch, text, pa.array((bpe.decode(r.tolist()) for r in rows), pa.string(), size=len(column)))
+            yield _put(batch, text, _texts(bpe, batch.column(ids).cast(pa.list_(pa.int32()))))
 
     return rows.mapInArrow(run, _with(rows, text, T.StringType()))
 

@@ -34,8 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Contract columns of op6: encoded, and decoded again from the ids."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encode(docs.select("doc_id", "text"), path).drop("text")
-    return bpe.digests(bpe.decode(ids, path))
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), path, decoded="decoded"))
 
 
 @register()
