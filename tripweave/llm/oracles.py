@@ -64,3 +64,24 @@ c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
+
+HOST_RULES = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wn AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)),
+tw AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wn) WHERE n > 1),
+rw AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM tw) GROUP BY doc_id),
+li AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM li GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(rw.n, 0) > 20 * len(w) AS base_failed
+  FROM d LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id)),
+h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS failed FROM c WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT count(*) AS hosts, sum(failed) / sum(n) AS mean, avg(1 / n) AS small, coalesce(var_samp(failed / n), 0) AS spread FROM h),
+s AS (SELECT mean, CASE WHEN hosts < 2 THEN 2 WHEN spread - mean * (1 - mean) * small <= 0 THEN 1e6
+                        ELSE least(1e6, greatest(2, mean * (1 - mean) / (spread - mean * (1 - mean) * small) - 1)) END AS strength FROM p),
+v AS (SELECT source, (failed + mean * strength) / (n + strength) <= 0.5 AS ok FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept
+FROM c LEFT JOIN v USING (source)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import bpe, decontaminate, lines, neardup, toxicity
+from tripweave.llm import bpe, decontaminate, hostrules, htmltext, lines, neardup, toxicity
 from tripweave.llm import oracles as sql
 from tripweave.llm.sampling import held_out
 
@@ -77,3 +77,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@register()
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register(sql.HOST_RULES)
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return hostrules.apply_rules(docs, F.col("source")).select("doc_id", *hostrules.COUNTS, "base_failed", "kept")
