@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import bpe, decontaminate, hostrules, htmltext, lines, neardup, toxicity
+from tripweave.llm import bpe, decontaminate, hostrules, htmltext, langid, lines, neardup, packing, toxicity
 from tripweave.llm import oracles as sql
 from tripweave.llm.sampling import held_out
 
@@ -89,3 +89,20 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return hostrules.apply_rules(docs, F.col("source")).select("doc_id", *hostrules.COUNTS, "base_failed", "kept")
+
+
+@register()
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(4, 2)
+    model = langid.fit(docs.select("doc_id", "text", "lang"), held)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed rows of 2048 ids; every document ends with the end-of-text id of the vocabulary."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pattern = public_tokenizers.PATTERN
+    return packing.pack(table(spark, sf_dir, "documents"), lambda: packing.rank_encoder(path, pattern).encode_ordinary, end=50256)
