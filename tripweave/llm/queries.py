@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import bpe, decontaminate, hostrules, htmltext, langid, lines, neardup, packing, toxicity
+from tripweave.llm import bpe, decontaminate, hostrules, htmltext, langid, lines, neardup, packing, quality, toxicity
 from tripweave.llm import oracles as sql
 from tripweave.llm.sampling import held_out
+from tripweave.sources.storage import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +107,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = public_tokenizers.PATTERN
     return packing.pack(table(spark, sf_dir, "documents"), lambda: packing.rank_encoder(path, pattern).encode_ordinary, end=50256)
+
+
+@register()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stage(quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
+    held = held_out(5, 0)
+    model = quality.fit(stats, table(spark, sf_dir, "labels"), held)
+    scored = stats.select("doc_id", held.alias("held_out"), quality.compiled(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
