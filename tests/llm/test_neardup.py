@@ -76,6 +76,7 @@ def test_bounds_let_true_pairs_pass():
     for n, m in neardup.least_matches(80):
         lost |= runs[:, n - 1] < m
     assert lost.sum() <= 2
+    assert ((pick.random((200_000, 128)) < 0.1).sum(1) > neardup.most_unlike(80)).sum() <= 1
 
 
 def test_components_of_a_long_path_and_a_star(spark):

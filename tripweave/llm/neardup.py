@@ -6,9 +6,10 @@ band share a bucket. A pair from a bucket is compared batch after batch of its s
 posterior probability of a similarity of ``at_least`` falls below MISS; what survives is confirmed on the full sets.
 
 Not all pairs of a bucket are formed. First every member meets the smallest one. Then, in buckets whose members are in more
-than one component, members meet a growing share of pivots (8, 64, 512, ... expected) in *other* components, until the bucket is
-one component or every member has been a pivot. A large group of copies is thus settled in about as many pairs as it has
-members, and still no link between components is left untested.
+than one component, the members outside the bucket's first component meet a growing share of pivots (8, 64, 512, ... expected) of
+other components, until the bucket is one component or every member has been a pivot. A large group of copies is thus settled in about as many pairs as it has
+members, and still no link between components is left untested. The first batch of such a meeting, one bit of each of
+BITS values, is compared inside the join, so that pairs that only share a common passage are not even formed.
 
 With BANDS bands of ROWS, a pair at exactly 0.8 shares no bucket with probability (1 - 0.8^5)^36 = 6e-7.
 
@@ -37,6 +38,7 @@ BANDS, ROWS = 36, 5
 #: Probability at which a pair is given up, and signature values compared at a time.
 MISS, BATCH = 1e-7, 30
 _SLOTS = BANDS * ROWS
+BITS = 128
 
 
 @lru_cache(1)
@@ -73,27 +75,29 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, d1, d2, sig): set size, 128-bit digest of the set, and signature (null for an empty set)."""
+    """(doc_id, n, d1, d2, sig, s1, s2): set size, 128-bit digest of the set, signature (null for an empty set), its BITS bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, sets in shingle_sets(batch, "text", size):
                 n = np.array([len(s) for s in sets])
                 some = np.flatnonzero(n)
-                sig, d1, d2 = [None] * len(sets), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+                sig, d1, d2, bits = [None] * len(sets), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), np.zeros((len(sets), BITS // 64), np.int64)
                 if len(some):
                     full = [sets[i] for i in some]
-                    for i, row in zip(some.tolist(), signature(full), strict=True):
+                    values = signature(full)
+                    bits[some] = np.packbits(values[:, :BITS] & 1, axis=1).view(np.int64)
+                    for i, row in zip(some.tolist(), values, strict=True):
                         sig[i] = row.tobytes()
                         d1[i] = tx.mix(sets[i]).sum(dtype=np.uint64).view(np.int64)
                         d2[i] = tx.mix(sets[i] ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, len(sets)), pa.array(n), pa.array(d1), pa.array(d2), pa.array(sig, pa.binary())],
-                    ["doc_id", "n", "d1", "d2", "sig"],
+                    [batch.column("doc_id").slice(low, len(sets)), pa.array(n), pa.array(d1), pa.array(d2), pa.array(sig, pa.binary()), *map(pa.array, bits.T)],
+                    ["doc_id", "n", "d1", "d2", "sig", "s1", "s2"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, sig binary, s1 long, s2 long")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -122,6 +126,17 @@ def least_matches(at_least: int) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(8)
+def most_unlike(at_least: int) -> int:
+    """Bits of BITS that may differ: values of sets of similarity s agree in a bit with probability (1 + s) / 2."""
+    p, total = (1 - at_least / 100) / 2, 0.0
+    for d in range(BITS + 1):
+        total += math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d)
+        if 1 - total < MISS:
+            return d
+    return BITS
+
+
 def prune(pairs: DataFrame, at_least: int) -> DataFrame:
     """Of (a, b, sig_a, sig_b), the pairs that no batch of values rules out."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -163,10 +178,10 @@ def confirm(pairs: DataFrame, at_least: int) -> DataFrame:
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
-    """(id, key, hub, size): the members of every bucket of two or more."""
+    """(id, s1, s2, key, hub, size): the members of every bucket of two or more."""
     width = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(BANDS)))
-    rows = reps.select("id", F.explode(keys).alias("key"))
+    rows = reps.select("id", "s1", "s2", F.explode(keys).alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     return rows.join(buckets, "key")
 
@@ -193,9 +208,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, at_least: int = AT_LEA
     docs = docs.select("doc_id", "text")
     marks = stage(signatures(docs, size), "signatures")
     full = marks.filter("n > 0 and doc_id is not null")
-    reps = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"))
+    reps = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("s1").alias("s1"), F.any_value("s2").alias("s2"))
     reps = stage(reps, "classes")
-    slim = stage(marks.drop("sig"), "documents")
+    slim = stage(marks.drop("sig", "s1", "s2"), "documents")
     unstage(marks)
     members = stage(bucket_members(reps), "buckets")
     wanted = members.select("id").distinct()
@@ -206,20 +221,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, at_least: int = AT_LEA
         if labels is None:
             pairs = members.filter("id <> hub").select(*_pair(F.col("id"), F.col("hub"))).distinct()
         else:
-            placed = members.join(labels, members["id"] == labels["node"], "left").select("id", "key", "size", F.coalesce("label", "id").alias("label"))
+            placed = members.join(labels, members["id"] == labels["node"], "left").select("id", "s1", "s2", "key", "size", F.coalesce("label", "id").alias("label"))
             split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("size"))
             open_ = split.filter("low <> high")
             if share is not None:
                 open_ = open_.filter(share < 1)
-            rows = stage(placed.drop("size").join(open_.select("key", "size"), "key"), "open-buckets")
+            rows = stage(placed.drop("size").join(open_.select("key", "size", "low"), "key"), "open-buckets")
             if rows.isEmpty():
                 break
             width *= 8
             was, share = share, F.lit(float(width)) / F.col("size")
             draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
             pivots = rows.filter((draw < share) & (F.lit(True) if was is None else draw >= was))
-            pivots = pivots.select("key", F.col("id").alias("pivot"), F.col("label").alias("pivot_label"))
-            pairs = rows.join(pivots, "key").filter(F.col("label") != F.col("pivot_label")).select(*_pair(F.col("id"), F.col("pivot"))).distinct()
+            pivots = pivots.select("key", F.col("id").alias("pivot"), F.col("label").alias("pivot_label"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
+            unlike = F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p2")))
+            met = rows.filter("label <> low").join(pivots, "key").filter((F.col("label") != F.col("pivot_label")) & (unlike <= most_unlike(at_least)))
+            pairs = met.select(*_pair(F.col("id"), F.col("pivot"))).distinct()
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         links = stage(_tested(pairs, reps, sets, at_least), "links")
