@@ -128,14 +128,14 @@ def list_dates_s7(spark, sf):
 _PENDING = "SELECT event_id AS id, ts FROM events WHERE event_type <> 'signup'"
 
 
-@register("export_unsynced_s8", f"SELECT id AS event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS \"date\" FROM ({_PENDING}) ORDER BY ts, id LIMIT 10000")
+@register("export_unsynced_s8", f"SELECT id AS event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS \"date\" FROM ({_PENDING})")
 def export_unsynced_s8(spark, sf):
     out = scratch_path(spark, "export")
     raw.write_export(raw.export_batch(messages(spark, sf), ledger(spark, sf)), out)
     return spark.read.text(out).select(_event_id("value"), F.col("date").cast("string").alias("date"))
 
 
-@register("mark_synced_s9", f"SELECT event_id AS id FROM events WHERE event_type = 'signup' UNION ALL (SELECT id FROM ({_PENDING}) ORDER BY ts, id LIMIT 10000)")
+@register("mark_synced_s9", f"SELECT event_id AS id FROM events WHERE event_type = 'signup' UNION ALL SELECT id FROM ({_PENDING})")
 def mark_synced_s9(spark, sf):
     path = scratch_path(spark, "ledger")
     ledger(spark, sf).select("id", "synced_at", "received_at").write.parquet(path)
@@ -362,6 +362,14 @@ def ingest_i1(spark, sf):
     return good.unionByName(bad).select(_event_id(), "readable", "msg_type")
 
 
+@register("export_oldest_batch_s8", f"SELECT id AS event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS \"date\" FROM ({_PENDING}) ORDER BY ts, id LIMIT 500")
+def export_oldest_batch_s8(spark, sf):
+    """A bounded batch, asked for explicitly: the oldest pending messages."""
+    out = scratch_path(spark, "export")
+    raw.write_export(raw.export_batch(messages(spark, sf), ledger(spark, sf), limit=500), out)
+    return spark.read.text(out).select(_event_id("value"), F.col("date").cast("string").alias("date"))
+
+
 @register("incremental_rebuild_i2", chain("segmented", _STORED, source=LOCATED_SQL, allp=_ALL))
 def incremental_rebuild_i2(spark, sf):
     """Messages arrive in three batches, the later ones late and out of order."""

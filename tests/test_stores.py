@@ -112,6 +112,70 @@ def test_rebuild_is_idempotent_and_keeps_other_users(spark, tmp_path):
     assert store.stored_dates(spark, out) == []
 
 
+def test_clean_rebuild_of_one_user_keeps_the_others(spark, tmp_path):
+    table, out = str(tmp_path / "raw"), str(tmp_path / "points")
+    raw.write_records(messages(spark, "hhoooow", user="a"), table)
+    raw.write_records(messages(spark, "wooooh", user="b", ids=100), table)
+    frame = raw.raw_table(spark, table)
+    P.rebuild(spark, frame, out, CFG, buckets=4)
+    before = rows_of(store.points_table(spark, out), *STORED)
+    P.rebuild(spark, frame, out, CFG, P.Filters(user="a", since="2024-03-26", until="2024-03-26"), clean=True)
+    assert rows_of(store.points_table(spark, out), *STORED) == before
+    # nothing left of user a in the messages: a clean rebuild takes a's rows, and only those
+    P.rebuild(spark, frame.filter("user = 'b'"), out, CFG, P.Filters(user="a", since="2024-03-26", until="2024-03-26"), clean=True)
+    assert rows_of(store.points_table(spark, out), *STORED) == [r for r in before if r[0] == "b"]
+
+
+def test_other_bucket_counts_neither_double_nor_lose_rows(spark, tmp_path):
+    whole, out = messages(spark, "hhoooow", user="a").unionByName(messages(spark, "wooooh", user="b", ids=100)), str(tmp_path / "points")
+    P.rebuild(spark, whole, out, CFG, buckets=4)
+    before = rows_of(store.points_table(spark, out), *STORED)
+    refresh(spark, whole, out, CFG)
+    assert store.stored_buckets(spark, out) == 4
+    assert rows_of(store.points_table(spark, out), *STORED) == before
+    for buckets in (1, 3):
+        P.rebuild(spark, whole, out, CFG, buckets=buckets)
+        assert rows_of(store.points_table(spark, out), *STORED) == before
+    refresh(spark, whole, out, CFG, buckets=2)
+    assert rows_of(store.points_table(spark, out), *STORED) == before
+    # a bucket of a replaced day that gets no new row is emptied
+    store.write_points(store.points_table(spark, out).filter("user = 'a'"), out, buckets=2)
+    assert {r["user"] for r in store.points_table(spark, out).collect()} == {"a"}
+
+
+def test_local_time_does_not_depend_on_the_session_zone(spark):
+    from tripweave.functions.timing import day_bounds_utc, to_local
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            row = spark.sql("SELECT timestamp_seconds(1711508400) AS t, timestamp_seconds(1730613600) AS u").select(
+                to_local("t", F.lit("America/New_York")).cast("string"), to_local("u", F.lit("UTC")).cast("string"),
+                day_bounds_utc("2024-03-26", "America/New_York"), day_bounds_utc("2024-03-26", "America/New_York", end=True),
+            ).first()
+            assert tuple(row) == ("2024-03-26 23:00:00", "2024-11-03 06:00:00", 1711425600, 1711511999)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_broken_receive_time_and_fractions_of_a_second(spark, tmp_path):
+    (tmp_path / "2024-03-26.jsonl").write_text('{"_type":"location","lat":1.5,"lon":2,"tst":3,"received_at":"garbage"}\n')
+    assert P.process_jsonl(spark, str(tmp_path), CFG).count() == 1
+    at = messages(spark, "h", received="2024-03-26 23:59:59.5")
+    assert raw.raw_count(at, until="2024-03-26").first()[0] == 1
+    assert raw.raw_count(at, since="2024-03-27").first()[0] == 0
+
+
+def test_rebuild_from_json_lines(spark, tmp_path):
+    lines, out = str(tmp_path / "lines"), str(tmp_path / "points")
+    raw.append_raw(messages(spark, "hhoooow"), lines, F.lit("2024-03-26 01:02:03").cast("timestamp"))
+    assert P.rebuild_jsonl(spark, lines, out, CFG, dry_run=True)["total_records"] == 7
+    got = P.rebuild_jsonl(spark, lines, out, CFG, since="2024-03-26", until="2024-03-26", clean=True)
+    assert (got["total_records"], got["commutes_found"]) == (7, 1)
+    assert store.points_table(spark, out).count() == 7
+
+
 def test_date_filter_uses_local_gps_time(spark):
     pts = spark.createDataFrame([(1711468800,), (1711422000,)], "tst long")
     assert rows_of(P.local_day_range(pts, "America/New_York", "2024-03-26", "2024-03-26"), "tst") == [("1711468800",)]
@@ -193,6 +257,30 @@ def test_guard_allows(sql):
     assert Q.check_query(sql) == sql
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT * FROM `parquet`.`{0}`", "SELECT * FROM -- it's\nparquet.`{0}` -- it's", "SELECT * FROM IDENTIFIER('parquet.`{0}`')",
+        "SELECT (SELECT count(*) FROM other) AS n FROM commutes", "SELECT * FROM other, (WITH other AS (SELECT 1) SELECT * FROM other)",
+        "SELECT 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, `reflect`('java.lang.System', 'nanoTime')",
+        "SELECT * FROM read_files('{0}')",
+    ],
+)
+def test_guard_refuses_relations(spark, tmp_path, sql):
+    spark.range(1).write.parquet(path := str(tmp_path / "secret"))
+    spark.range(1).createOrReplaceTempView("other")
+    Q.register_views(P.process(track(spark, "hhoooow"), cfg=CFG))
+    with pytest.raises(ValueError):
+        Q.query(spark, sql.format(path))
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_guard_keeps_common_tables(spark):
+    Q.register_views(P.process(track(spark, "hhoooow"), cfg=CFG))
+    got = Q.query(spark, "SELECT n FROM (WITH trips AS (SELECT count(*) AS n FROM commutes) SELECT n FROM trips) WHERE n IN (SELECT id FROM range(5))")
+    assert got.first()["n"] == 1
+
+
 def test_query_with_parameters(spark):
     Q.register_views(P.process(track(spark, "hhoooow"), cfg=CFG))
     got = Q.query(spark, "SELECT count(*) AS n FROM commute_data WHERE commute_direction = :way", {"way": "morning"})

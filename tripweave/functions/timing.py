@@ -1,8 +1,10 @@
-"""Time expressions. The session time zone is expected to be UTC."""
+"""Time expressions; none depends on the session's time zone."""
 
 from __future__ import annotations
 
+import datetime
 import math
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, functions as F
 
@@ -12,10 +14,15 @@ def epoch_to_timestamp(tst) -> Column:
 
 
 def to_local(timestamp, tz) -> Column:
-    """UTC instant to naive local time in a per-row zone."""
-    ts = timestamp if isinstance(timestamp, Column) else F.col(timestamp)
+    """Instant to naive local time in a per-row zone."""
     zone = tz if isinstance(tz, Column) else F.col(tz)
-    return F.from_utc_timestamp(ts, zone).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit("UTC"), zone, utc_clock(timestamp))
+
+
+def utc_clock(timestamp) -> Column:
+    """Instant to the naive time that a UTC clock shows."""
+    ts = timestamp if isinstance(timestamp, Column) else F.col(timestamp)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def display_time(timestamp, tz: str) -> Column:
@@ -41,9 +48,9 @@ def day_name(local_time) -> Column:
 
 
 def day_bounds_utc(day, tz: str, end: bool = False) -> Column:
-    """Unix seconds of a local day's first (or last) second in ``tz``."""
+    """Unix seconds of a local day's first (or last) second in ``tz``, as a constant."""
     clock = f"{day} 23:59:59" if end else f"{day} 00:00:00"
-    return F.unix_timestamp(F.to_utc_timestamp(F.lit(clock).cast("timestamp"), tz))
+    return F.lit(int(datetime.datetime.fromisoformat(clock).replace(tzinfo=ZoneInfo(tz)).timestamp()))
 
 
 def minutes_between(start, end) -> Column:

@@ -70,7 +70,7 @@ class ModeModel:
     def save(self, path: str) -> None:
         """Model directory plus a readable metrics sidecar beside it."""
         if self.tree is None:
-            raise ValueError("Model not trained yet")
+            raise ValueError("an untrained model cannot be used here")
         self.tree.write().overwrite().save(f"{path}/tree")
         meta = {
             "version": 1,
@@ -150,13 +150,15 @@ def accuracy(matrix: DataFrame, actual: str = "label", predicted: str = "predict
 
 def fit(data: DataFrame, max_depth: int = 10, test_fraction: float = 0.2, cfg: TripConfig = TripConfig()) -> ModeModel:
     """Train on a ``training_set`` frame and score the held-out rows."""
+    if not 1 <= max_depth <= MAX_DEPTH:
+        raise ValueError(f"max_depth must be between 1 and {MAX_DEPTH}, the limit of the tree library")
     # counting, fitting and scoring all read the rows: cut the window lineage once
     ensure_checkpoint_dir(data.sparkSession)
     data = data.filter(F.col("label").isin(*MODES)).checkpoint()
     counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}  # five at most
     total = sum(counts.values())
     if total < 10:
-        raise ValueError(f"Need at least 10 labeled samples, got {total}")
+        raise ValueError(f"a tree needs 10 labelled points or more, there are {total}")
     split = test_fraction > 0 and total >= 20
     rows = hold_out(data, test_fraction if split else 0.0)
     training = rows.filter(~F.col("is_test")) if split else rows
@@ -166,7 +168,7 @@ def fit(data: DataFrame, max_depth: int = 10, test_fraction: float = 0.2, cfg: T
     prepared = _assembled(training.withColumns({"_label": _mode_index("label"), "_weight": weight}))
     tree = DecisionTreeClassifier(
         labelCol="_label", featuresCol="features", weightCol="_weight", impurity="gini",
-        maxDepth=min(max_depth, MAX_DEPTH), seed=42,
+        maxDepth=max_depth, seed=42,
     ).fit(prepared)
     model = ModeModel(tree, {}, cfg)
     matrix = confusion(model.predict(held_out))

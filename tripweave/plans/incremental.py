@@ -8,6 +8,7 @@ and however late a message arrives.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tripweave.config import ENTITY, TripConfig, Zones
 from tripweave.operators.sequence import locate
 from tripweave.plans.process import drop_malformed, process
-from tripweave.sources.points import PARTITIONS, points_table, with_bucket, write_points
+from tripweave.sources.points import PARTITIONS, points_table, settle_buckets, with_bucket, write_partitions
 from tripweave.sources.raw import parse_payload, read_raw_records
-from tripweave.sources.storage import ensure_checkpoint_dir
+from tripweave.sources.storage import ensure_checkpoint_dir, stage, unstage
 
 # what the pipeline adds to a point
 COMPUTED = (
@@ -74,6 +75,7 @@ def affected_spans(
     def narrow(pts: DataFrame) -> DataFrame:
         return pts.select(*entity, "tst", "local_date", (F.col("at_home") | F.col("at_work")).alias("_in_zone"))
 
+    ensure_checkpoint_dir(fresh.sparkSession)
     touched = fresh.groupBy(*entity).agg(
         F.min("tst").alias("_t0"), F.max("tst").alias("_t1"), F.min("local_date").alias("_first")
     ).checkpoint()
@@ -113,7 +115,7 @@ def refresh(
     labels: DataFrame | None = None,
     zones: Zones = Zones(),
     tz_regions=None,
-    buckets: int = 1,
+    buckets: int | None = None,
     lookback_days: int = 7,
     entity: Sequence[str] = ENTITY,
 ) -> None:
@@ -122,13 +124,19 @@ def refresh(
     Replaying the same messages gives the same store: points are identified by entity,
     record id and time.
     """
-    ensure_checkpoint_dir(spark)
     fresh = locate(drop_malformed(parse_payload(read_raw_records(new))), cfg, tz_regions, entity)
+    # the batch is read many times below: parsed and written once
+    fresh = stage(fresh, "fresh")
     if fresh.isEmpty():
+        unstage(fresh)
         return
-    stored = points_table(spark, out)
-    spans = affected_spans(stored, fresh, lookback_days, entity).checkpoint()
+    buckets = settle_buckets(spark, out, buckets, entity)
+    whole = points_table(spark, out)
+    if "entity_bucket" not in whole.columns:  # no store yet
+        whole = whole.withColumn("entity_bucket", F.lit(None).cast("int"))
+    spans = stage(affected_spans(whole, fresh, lookback_days, entity), "spans")
     key, point = list(entity), [*entity, "record_id", "tst"]
+    stored = whole.filter(_reach(spans, buckets, entity))
 
     known = stored.join(fresh.select(*point), point, "left_anti").join(spans, key).filter(_in_context())
     context = (
@@ -136,8 +144,8 @@ def refresh(
         .unionByName(fresh.drop(*COMPUTED), allowMissingColumns=True)
     )
     redone = process(context, labels, zones, cfg, tz_regions, entity=entity)
-    # written once to the checkpoint folder: the partitions touched and the rows are both read from it
-    redone = redone.join(spans, key).filter(_replaced()).drop(*_SPAN).checkpoint()
+    # written once to the shared folder: the partitions touched and the rows are both read from it
+    redone = stage(redone.join(spans, key).filter(_replaced()).drop(*_SPAN), "redone")
 
     touched = with_bucket(redone, buckets, entity).select(*PARTITIONS).distinct()
     stale = F.coalesce(_replaced(), F.lit(False))
@@ -145,6 +153,23 @@ def refresh(
         stored.join(touched, list(PARTITIONS), "left_semi")
         .join(spans, key, "left")
         .filter(F.col("day_lo").isNull() | ~stale)
-        .drop(*_SPAN)
+        .drop(*_SPAN, "entity_bucket")
     )
-    write_points(redone.unionByName(carried, allowMissingColumns=True), out, buckets, "dynamic", entity)
+    write_partitions(redone.unionByName(carried, allowMissingColumns=True), out, buckets, entity)
+    unstage(fresh, spans, redone)
+
+
+def _reach(spans: DataFrame, buckets: int, entity: Sequence[str]) -> Column:
+    """Partitions that the spans can touch, as constants so that the scan is pruned: their dates, a day more at both ends
+    since a time zone can move a time by that much, and their buckets."""
+    day = lambda column: F.to_date(F.timestamp_seconds(column))
+    ends = spans.agg(
+        F.min(F.least(F.coalesce(day("from_tst"), F.lit("0001-01-02").cast("date")), "day_lo")),
+        F.max(F.greatest(F.coalesce(day("to_tst"), F.lit("9999-12-30").cast("date")), "day_hi")),
+    ).first()
+    if ends[0] is None:
+        return F.lit(False)
+    one = datetime.timedelta(days=1)
+    used = [r[0] for r in with_bucket(spans, buckets, entity).select("entity_bucket").distinct().collect()]  # at most ``buckets``
+    low, high = (F.lit((d + step).isoformat()).cast("date") for d, step in ((ends[0], -one), (ends[1], one)))
+    return F.col("local_date").between(low, high) & F.col("entity_bucket").isin(used)

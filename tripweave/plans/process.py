@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripweave.config import ENTITY, TripConfig, Zones
 from tripweave.functions.timing import day_bounds_utc
@@ -13,8 +14,9 @@ from tripweave.operators.classify import Ensemble, build_ensemble
 from tripweave.operators.labels import apply_corrections, migrate_labels
 from tripweave.operators.segment import segment
 from tripweave.operators.sequence import enrich_and_detect, locate
-from tripweave.sources.points import clean_range, merge_points, points_table, write_points
+from tripweave.sources.points import points_table, replace_rows, settle_buckets, stored_dates
 from tripweave.sources.raw import from_jsonl, parse_payload, read_raw_jsonl, read_raw_records
+from tripweave.sources.storage import stage, unstage
 
 REQUIRED = ("lat", "lon", "tst")
 
@@ -77,6 +79,30 @@ def selected_points(raw: DataFrame, filters: Filters, cfg: TripConfig) -> DataFr
     return local_day_range(located, cfg.default_tz, filters.since, filters.until)
 
 
+def in_selection(filters: Filters, cfg: TripConfig) -> Column:
+    """Stored rows that a rebuild under ``filters`` is responsible for: their user, device and GPS time."""
+    chosen = F.lit(True)
+    if filters.since:
+        chosen &= F.col("tst") >= day_bounds_utc(filters.since, cfg.default_tz)
+    if filters.until:
+        chosen &= F.col("tst") <= day_bounds_utc(filters.until, cfg.default_tz, end=True)
+    for column, value in (("user", filters.user), ("device", filters.device)):
+        if value:
+            chosen &= F.col(column) == value
+    return chosen
+
+
+def _concerned(spark: SparkSession, out: str, fresh: list[str], filters: Filters, clean: bool) -> list[str]:
+    """Local dates to look at: those of the new rows and, to clean, the stored ones of the range and a day around it,
+    since a time zone can move a time by that much."""
+    if not (clean and (filters.since or filters.until)):
+        return fresh
+    day = datetime.timedelta(days=1)
+    low = str(datetime.date.fromisoformat(filters.since) - day) if filters.since else ""
+    high = str(datetime.date.fromisoformat(filters.until) + day) if filters.until else "9999"
+    return sorted({*fresh, *(d for d in stored_dates(spark, out) if low <= d <= high)})
+
+
 def rebuild(
     spark: SparkSession,
     raw: DataFrame,
@@ -88,31 +114,42 @@ def rebuild(
     tz_regions=None,
     clean: bool = False,
     dry_run: bool = False,
-    buckets: int = 1,
+    buckets: int | None = None,
 ) -> dict:
     """Rebuild derived points from the message table; returns a summary.
 
-    The summary is read back from the files written, so the pipeline runs once. A rebuild
-    narrowed to a user or device leaves everyone else's points alone.
+    Only rows of the filters' users and GPS times are replaced, and only on days that have new rows; ``clean`` also removes
+    such rows of days that have none any more, once the new rows are written. Everything else stays. ``buckets`` is
+    the store's own count unless given; another count rewrites the store.
     """
     points = selected_points(raw, filters, cfg)
     if dry_run:
         return {"dry_run": True, "filters": filters.given(), "clean": clean, "output": out, "total_records": points.count()}
-    if clean and (filters.since or filters.until):
-        clean_range(spark, out, filters.since, filters.until)
-    processed = process(points, labels, zones, cfg, tz_regions)
+    return rebuild_points(spark, points, out, cfg, filters, labels, zones, tz_regions, clean, buckets)
+
+
+def rebuild_points(
+    spark: SparkSession, points: DataFrame, out: str, cfg: TripConfig, filters: Filters = Filters(), labels: DataFrame | None = None,
+    zones: Zones = Zones(), tz_regions=None, clean: bool = False, buckets: int | None = None,
+) -> dict:
+    """The writing half of ``rebuild``, for located points from any source."""
+    # parsed once: the keys and the pipeline's two branches read this copy
+    points = stage(points, "selected")
+    keys = locate(points, cfg, tz_regions).select(*ENTITY, "local_date").distinct()
+    fresh = sorted(str(r[0]) for r in keys.select("local_date").distinct().collect())
+    dates = _concerned(spark, out, fresh, filters, clean)
     summary = {"dry_run": False, "filters": filters.given(), "total_records": 0, "commutes_found": 0, "dates": []}
-    if points.isEmpty():
+    if not dates:
         return {**summary, "labels": labels}
-    if filters.user or filters.device:
-        days = locate(points, cfg, tz_regions).select(*ENTITY, "local_date").distinct()
-        merge_points(spark, processed, days, out, buckets)
-    else:
-        write_points(processed, out, buckets)
-    stored = local_day_range(points_table(spark, out), cfg.default_tz, filters.since, filters.until)
-    for column, value in (("user", filters.user), ("device", filters.device)):
-        if value:
-            stored = stored.filter(F.col(column) == value)
+    buckets = settle_buckets(spark, out, buckets)
+    replaced = in_selection(filters, cfg)
+    if not (clean and (filters.since or filters.until)):
+        replaced &= F.col("local_date").isin([datetime.date.fromisoformat(d) for d in fresh])
+    replace_rows(spark, process(points, labels, zones, cfg, tz_regions), keys, replaced, dates, out, buckets)
+    unstage(points)
+    if not fresh:
+        return {**summary, "labels": labels}
+    stored = points_table(spark, out).filter(in_selection(filters, cfg))
     per_day = stored.groupBy("local_date").agg(F.count("*").alias("n")).orderBy("local_date").collect()
     trips = stored.filter("commute_id is not null").select(*ENTITY, "commute_id").distinct()
     summary.update(
@@ -147,3 +184,16 @@ def process_jsonl(
 ) -> DataFrame:
     """Pipeline over JSON-lines files; write the result with ``write_points``."""
     return process(points_from_jsonl(spark, path, since, until), labels, zones, cfg, tz_regions)
+
+
+def rebuild_jsonl(
+    spark: SparkSession, path: str, out: str, cfg: TripConfig, since: str | None = None, until: str | None = None,
+    labels: DataFrame | None = None, zones: Zones = Zones(), tz_regions=None, clean: bool = False, dry_run: bool = False,
+    buckets: int | None = None,
+) -> dict:
+    """Rebuild the store from JSON-lines files; since and until compare with file dates and with the GPS time."""
+    filters = Filters(since=since, until=until)
+    points = local_day_range(points_from_jsonl(spark, path, since, until), cfg.default_tz, since, until)
+    if dry_run:
+        return {"dry_run": True, "filters": filters.given(), "clean": clean, "output": out, "total_records": points.count()}
+    return rebuild_points(spark, points, out, cfg, filters, labels, zones, tz_regions, clean, buckets)

@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripweave.config import ENTITY
 from tripweave.schema import POINTS
-from tripweave.sources.storage import drop_partition, partition_values
+from tripweave.sources.storage import drop_partition, partition_values, read_text, stage, unstage, write_text
 
 PARTITIONS = ("local_date", "entity_bucket")
+#: Beside the data; a name that Spark's readers pass over.
+_BUCKETS_FILE = "_entity_buckets"
 
 
 def with_bucket(pts: DataFrame, buckets: int, entity: Sequence[str] = ENTITY) -> DataFrame:
     return pts.withColumn("entity_bucket", F.pmod(F.xxhash64(*entity), F.lit(buckets)).cast("int"))
 
 
-def write_points(
-    pts: DataFrame, path: str, buckets: int = 1, overwrite: str = "dynamic", entity: Sequence[str] = ENTITY
-) -> None:
-    """Replace the partitions present in ``pts``.
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The bucket count that the store was written with; None where there is no store, 0 where it does not say."""
+    dates = partition_values(spark, path, "local_date")
+    if not dates:
+        return None
+    text = read_text(spark, f"{path}/{_BUCKETS_FILE}")
+    return int(text) if text else 0
 
-    ``rebalance`` lets AQE split an oversized (date, bucket) over several files and join
-    small ones, so a crowded day is not written by one task.
-    """
+
+def settle_buckets(spark: SparkSession, path: str, buckets: int | None, entity: Sequence[str] = ENTITY) -> int:
+    """The bucket count to write with: the store's own unless another is asked for, to which the store is then rewritten."""
+    have = stored_buckets(spark, path)
+    if have is None:
+        return buckets or 1
+    if have and buckets in (None, have):
+        return have
+    rebucket(spark, path, buckets or 1, entity)
+    return buckets or 1
+
+
+def rebucket(spark: SparkSession, path: str, buckets: int, entity: Sequence[str] = ENTITY) -> None:
+    """The whole store with another bucket count; no row is lost or doubled."""
+    copy = stage(points_table(spark, path).drop("entity_bucket"), "rebucket")
+    _write(copy, path, buckets, "static", entity)
+    unstage(copy)
+
+
+def _write(pts: DataFrame, path: str, buckets: int, overwrite: str, entity: Sequence[str]) -> None:
+    """``rebalance`` lets AQE split an oversized (date, bucket) over several files and join
+    small ones, so a crowded day is not written by one task."""
     (
         with_bucket(pts, buckets, entity)
         .hint("rebalance", *PARTITIONS)
@@ -34,27 +59,64 @@ def write_points(
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
+    write_text(pts.sparkSession, f"{path}/{_BUCKETS_FILE}", str(buckets))
 
 
-def merge_points(
-    spark: SparkSession, pts: DataFrame, replaced: DataFrame, path: str, buckets: int = 1, entity: Sequence[str] = ENTITY
-) -> None:
-    """Replace only the (entity, local_date) keys in ``replaced``; everyone else's points in
-    the same partitions are carried over."""
-    key = [*entity, "local_date"]
-    replaced = with_bucket(replaced.select(*key).distinct(), buckets, entity)
-    stored = points_table(spark, path)
-    touched = replaced.select(*PARTITIONS).distinct()
-    others = stored.join(F.broadcast(touched) if _few(touched) else touched, list(PARTITIONS), "left_semi").join(
-        replaced.select(*key), key, "left_anti"
-    )
-    new = with_bucket(pts, buckets, entity).join(replaced.select(*key), key, "left_semi")
-    merged = new.unionByName(others, allowMissingColumns=True)
-    write_points(merged, path, buckets, "dynamic", entity)
+def write_partitions(pts: DataFrame, path: str, buckets: int, entity: Sequence[str] = ENTITY) -> None:
+    """Replace the (date, bucket) partitions present in ``pts``, which hold all that should be left in them."""
+    _write(pts, path, buckets, "dynamic", entity)
 
 
-def _few(frame: DataFrame, rows: int = 100_000) -> bool:
-    return frame.limit(rows + 1).count() <= rows
+def write_points(
+    pts: DataFrame, path: str, buckets: int | None = None, overwrite: str = "dynamic", entity: Sequence[str] = ENTITY
+) -> None:
+    """Replace the days present in ``pts``, all their buckets; other days stay."""
+    spark = pts.sparkSession
+    if overwrite == "static":
+        _write(pts, path, buckets or 1, overwrite, entity)
+        return
+    buckets = settle_buckets(spark, path, buckets, entity)
+    if not partition_values(spark, path, "local_date"):
+        _write(pts, path, buckets, overwrite, entity)
+        return
+    # the rows are read twice: written, and asked for the buckets that their days still have
+    pts = stage(pts, "points")
+    replace_rows(spark, pts, pts, F.lit(True), _dates(pts), path, buckets, entity)
+    unstage(pts)
+
+
+def _dates(frame: DataFrame) -> list[str]:
+    """Distinct local dates, one small row for each day."""
+    return sorted(str(r[0]) for r in frame.select("local_date").distinct().collect() if r[0] is not None)
+
+
+def replace_rows(
+    spark: SparkSession, new: DataFrame, keys: DataFrame, replaced: Column, dates: Sequence[str], path: str, buckets: int,
+    entity: Sequence[str] = ENTITY,
+) -> None:
+    """On ``dates``, stored rows that are ``replaced`` give way to ``new``; all others are carried over.
+
+    ``keys`` holds the entity and local date of the new rows. A partition that has no row left is dropped after the write,
+    so nothing is gone if the job fails before.
+    """
+    days = F.col("local_date").isin([datetime.date.fromisoformat(d) for d in dates])
+    carried = points_table(spark, path).filter(days & ~F.coalesce(replaced, F.lit(False))).drop("entity_bucket")
+    if carried.isEmpty():
+        left = with_bucket(keys, buckets, entity).select(*PARTITIONS)
+        rows = new
+    else:
+        left = with_bucket(keys.select(*entity, "local_date").unionByName(carried.select(*entity, "local_date")), buckets, entity).select(*PARTITIONS)
+        rows = new.unionByName(carried, allowMissingColumns=True)
+    # a pair for each day and bucket concerned
+    left = {(str(r[0]), str(r[1])) for r in left.distinct().collect()}
+    _write(rows, path, buckets, "dynamic", entity)
+    for date in dates:
+        folder = f"{path}/local_date={date}"
+        for bucket in partition_values(spark, folder, "entity_bucket"):
+            if (date, bucket) not in left:
+                drop_partition(spark, folder, "entity_bucket", bucket)
+        if not partition_values(spark, folder, "entity_bucket"):
+            drop_partition(spark, path, "local_date", date)
 
 
 def points_table(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -116,7 +118,7 @@ def from_jsonl(lines: DataFrame) -> DataFrame:
         .withColumn("_p", p)
         .select(
             F.xxhash64("payload").alias("id"),
-            F.to_timestamp("_p.received_at").alias("received_at"),
+            F.try_to_timestamp("_p.received_at").alias("received_at"),
             F.coalesce("_p._type", F.lit("unknown")).alias("msg_type"),
             F.coalesce("_p._receiver_user", F.lit("unknown")).alias("user"),
             F.coalesce("_p._receiver_device", F.lit("unknown")).alias("device"),
@@ -153,9 +155,10 @@ def raw_count(
 ) -> DataFrame:
     """Number of messages received in whole UTC days ``since``..``until``."""
     if since:
-        raw = raw.filter(F.col("received_at") >= F.lit(f"{since} 00:00:00").cast("timestamp"))
+        raw = raw.filter(F.col("received_at") >= F.lit(f"{since} 00:00:00Z").cast("timestamp"))
     if until:
-        raw = raw.filter(F.col("received_at") <= F.lit(f"{until} 23:59:59").cast("timestamp"))
+        after = datetime.date.fromisoformat(until) + datetime.timedelta(days=1)
+        raw = raw.filter(F.col("received_at") < F.lit(f"{after} 00:00:00Z").cast("timestamp"))
     for column, value in (("user", user), ("device", device), ("msg_type", msg_type)):
         if value:
             raw = raw.filter(F.col(column) == value)
@@ -180,8 +183,8 @@ def unsynced(raw: DataFrame, ledger: DataFrame) -> DataFrame:
     return raw.join(ledger.select(*_KEY), _KEY, "left_anti")
 
 
-def export_batch(raw: DataFrame, ledger: DataFrame, limit: int | None = 10_000) -> DataFrame:
-    """Oldest unexported messages; ``limit=None`` takes all of them without a sort."""
+def export_batch(raw: DataFrame, ledger: DataFrame, limit: int | None = None) -> DataFrame:
+    """Unexported messages: all of them, or the oldest ``limit``."""
     pending = unsynced(raw, ledger)
     return pending if limit is None else pending.orderBy("received_at", "id").limit(limit)
 
@@ -202,7 +205,7 @@ def mark_synced(batch: DataFrame, ledger_path: str, now: Column | None = None) -
     batch.select("id", now.alias("synced_at"), "received_at").write.mode("append").parquet(ledger_path)
 
 
-def export_unsynced(raw: DataFrame, ledger_path: str, path: str, limit: int | None = 10_000) -> int:
+def export_unsynced(raw: DataFrame, ledger_path: str, path: str, limit: int | None = None) -> int:
     """Export one batch and stamp it; returns its size.
 
     The batch is written to the ledger's staging folder first and both steps read that
@@ -226,9 +229,9 @@ def prune_synced(raw: DataFrame, ledger: DataFrame, retention_days: int, now: Co
     if retention_days <= 0:
         return raw
     old = F.col("received_at") < retention_cutoff(retention_days, now)
-    stamped = ledger.select(*_KEY, F.lit(True).alias("_synced")).distinct()
-    kept = raw.join(stamped, _KEY, "left").filter(~(old & F.coalesce("_synced", F.lit(False))))
-    return kept.drop("_synced")
+    # payloads of recent messages need no join, those of old ones an anti join only
+    gone = ledger.filter(old).select(*_KEY)
+    return raw.filter(F.coalesce(~old, F.lit(True))).unionByName(raw.filter(old).join(gone, _KEY, "left_anti"))
 
 
 def prune_table(spark: SparkSession, path: str, ledger_path: str, retention_days: int, now: Column | None = None) -> None:

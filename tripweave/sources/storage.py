@@ -51,6 +51,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A few bytes beside a table, replaced if there."""
+    fs, p = _fs_path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs_path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    text = bytes(b & 0xFF for b in stream.readAllBytes()).decode()
+    stream.close()
+    return text
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of a first-level ``column=value`` partition, by directory listing only."""
     fs, p = _fs_path(spark, path)

@@ -72,7 +72,7 @@ def start_incremental_rebuild(
     labels: DataFrame | None = None,
     zones: Zones = Zones(),
     tz_regions=None,
-    buckets: int = 1,
+    buckets: int | None = None,
     available_now: bool = False,
     interval: str = "5 minutes",
 ) -> StreamingQuery:
