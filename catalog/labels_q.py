@@ -389,6 +389,54 @@ def metrics_m4(spark, sf):
     return plain(M.per_class_metrics(M.confusion(judged)))
 
 
+_LABELLED_SQL = (
+    "SELECT p.record_id, coalesce(l.corrected_mode, p.transport_mode) AS label FROM segmented p "
+    f"SEMI JOIN (SELECT DISTINCT {_E}, commute_id FROM log) k USING ({_E}, commute_id) LEFT JOIN live l USING ({_K})"
+)
+_SPLIT_SQL = (
+    "SELECT label, draw % 1000000 < 200000 OR (count(*) OVER (PARTITION BY label) > 1 AND draw = min(draw) OVER (PARTITION BY label)) AS is_test "
+    f"FROM (SELECT label, CAST('0x' || substr(md5('42|' || CAST(record_id AS VARCHAR)), 1, 8) AS BIGINT) AS draw FROM ({_LABELLED_SQL}))"
+)
+
+
+def _labelled_rows(spark, sf):
+    pts = points(spark, sf)
+    return M.labelled_training_set(pts, label_log(A.segments(pts)), cfg=CFG)
+
+
+@register("hold_out_m3", with_labels(f"SELECT label, is_test, count(*) AS n FROM ({_SPLIT_SQL}) GROUP BY ALL"))
+def hold_out_m3(spark, sf):
+    """Rows held out of every class by a hash that both engines have."""
+    return M.hold_out(_labelled_rows(spark, sf), 0.2).groupBy("label", "is_test").agg(F.count("*").alias("n"))
+
+
+@register(
+    "class_weights_m3",
+    with_labels(
+        f"SELECT label, {rnd('sum(n) OVER () / (count(*) OVER () * n)', 4)} AS weight FROM (SELECT label, count(*) AS n FROM ({_SPLIT_SQL}) WHERE NOT is_test GROUP BY label)"
+    ),
+)
+def class_weights_m3(spark, sf):
+    training = M.hold_out(_labelled_rows(spark, sf), 0.2).filter("not is_test")
+    weights = M.class_weights({r["label"]: r["n"] for r in training.groupBy("label").agg(F.count("*").alias("n")).collect()})
+    return plain(spark.createDataFrame(sorted(weights.items()), "label string, weight double"), 4)
+
+
+@register("model_probabilities_m5", chain("segmented", "SELECT true AS sums_to_one, count(*) AS n FROM segmented"))
+def model_probabilities_m5(spark, sf):
+    """Class probabilities of every trip point add up to 1."""
+    pts, model = _model(spark, sf)
+    total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
+    return model.score(A.on_trips(pts), _ENT, "odds").groupBy((F.abs(total - 1) < 1e-9).alias("sums_to_one")).agg(F.count("*").alias("n"))
+
+
+@register("untrained_model_m5", chain("segmented", "SELECT true AS all_zero, count(*) AS n FROM segmented"))
+def untrained_model_m5(spark, sf):
+    """Without a tree every score is zero."""
+    rows = M.ModeModel(cfg=CFG).score(A.on_trips(points(spark, sf)), _ENT, "odds")
+    return rows.groupBy(F.forall("odds", lambda x: x == 0).alias("all_zero")).agg(F.count("*").alias("n"))
+
+
 @register("model_predict_m5")
 def model_predict_m5(spark, sf):
     pts, model = _model(spark, sf)
@@ -404,7 +452,7 @@ def model_ensemble_m5(spark, sf):
     return voted.groupBy("transport_mode", "mode").agg(F.count("*").alias("n"))
 
 
-@register("save_load_model_m6")
+@register("save_load_model_m6", chain("segmented", "SELECT true AS same, count(*) AS n FROM segmented"))
 def save_load_model_m6(spark, sf):
     pts, model = _model(spark, sf)
     path = scratch_path(spark, "model")

@@ -15,6 +15,7 @@ from catalog.base import (
 from catalog.registry import register
 from tripweave.operators import analytics as A
 from tripweave.plans import process as P
+from tripweave.plans.incremental import refresh
 from tripweave.sources import checksums, points as store, raw
 from tripweave.sources.storage import scratch_path
 from tripweave.streaming import ingest
@@ -328,6 +329,39 @@ def rebuild_one_user_p2(spark, sf):
     return plain(store.points_table(spark, out).select(*_STORED_COLS))
 
 
+_WHOLE = chain("segmented", _STORED, source=LOCATED_SQL, allp=_ALL)
+
+
+@register("rebuild_clean_user_p2", _WHOLE)
+def rebuild_clean_user_p2(spark, sf):
+    """A clean rebuild narrowed to a user takes away and gives back that user's rows only."""
+    out = scratch_path(spark, "points")
+    table = raw.raw_table(spark, _message_table(spark, sf))
+    P.rebuild(spark, table, out, CFG, buckets=2)
+    P.rebuild(spark, table, out, CFG, P.Filters(user="u3", since="2023-12-01", until="2024-03-01"), clean=True)
+    return plain(store.points_table(spark, out).select(*_STORED_COLS))
+
+
+@register("rebuild_rebucket_s5", _WHOLE)
+def rebuild_rebucket_s5(spark, sf):
+    """Another bucket count rewrites the store: no row is doubled or lost."""
+    out = scratch_path(spark, "points")
+    table = raw.raw_table(spark, _message_table(spark, sf))
+    for buckets in (4, 1):
+        P.rebuild(spark, table, out, CFG, buckets=buckets)
+    return plain(store.points_table(spark, out).select(*_STORED_COLS))
+
+
+@register("refresh_rebucket_i2", _WHOLE)
+def refresh_rebucket_i2(spark, sf):
+    """An incremental rebuild keeps to the bucket count of the store."""
+    out = scratch_path(spark, "points")
+    table = raw.raw_table(spark, _message_table(spark, sf))
+    P.rebuild(spark, table, out, CFG, buckets=4)
+    refresh(spark, table, out, CFG)
+    return plain(store.points_table(spark, out).select(*_STORED_COLS))
+
+
 @register(
     "process_jsonl_p3",
     chain(

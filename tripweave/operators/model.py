@@ -102,11 +102,21 @@ def labelled_training_set(
     return training_set(corrected)
 
 
-def hold_out(data: DataFrame, test_fraction: float, key: Sequence[str] = ("record_id",), seed: int = 42) -> DataFrame:
-    """Add ``is_test``: a uniform hash of the row key, so every class is split alike and
-    the split is the same on every run and every partitioning."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000))
-    return data.withColumn("is_test", bucket < int(test_fraction * 1_000_000))
+def hold_out(
+    data: DataFrame, test_fraction: float, key: Sequence[str] = ("record_id",), seed: int = 42, label: str = "label"
+) -> DataFrame:
+    """Add ``is_test``: a uniform hash of the row key, so every class is split alike and the split is the same on every run
+    and every partitioning. Of a class of two or more rows the one with the smallest hash is always held out."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    drawn = data.withColumn("_draw", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"))
+    chosen = F.col("_draw") % 1_000_000 < int(test_fraction * 1_000_000)
+    if test_fraction <= 0:
+        return drawn.withColumn("is_test", F.lit(False)).drop("_draw")
+    least = drawn.groupBy(F.col(label).alias("_class")).agg(F.min("_draw").alias("_least"), F.count("*").alias("_n"))
+    first = (F.col("_n") > 1) & (F.col("_draw") == F.col("_least"))
+    # one row for each mode
+    marked = drawn.join(F.broadcast(least), drawn[label].eqNullSafe(F.col("_class")))
+    return marked.withColumn("is_test", chosen | first).drop("_draw", "_class", "_least", "_n")
 
 
 def class_weights(counts: dict[str, int]) -> dict[str, float]:
