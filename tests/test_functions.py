@@ -141,3 +141,39 @@ def test_zone_config(tmp_path, monkeypatch):
 def test_zones_for_unknown_modes_are_dropped_with_a_warning():
     with pytest.warns(UserWarning, match="flying"):
         C.build_ensemble(Zones(corridors=(Corridor("x", "flying", ((0.0, 0.0),)),)))
+
+
+def test_many_zones_of_all_sizes_match_brute_force(spark):
+    """Hundreds of small stops beside a country-sized one, and boxes of all sizes."""
+    import random
+
+
+    pick = random.Random(6)
+    stops = [Waypoint(f"s{i}", 40 + pick.random(), -74 + pick.random(), pick.choice([50.0, 300.0, 2_000.0]), "walking") for i in range(200)]
+    stops.append(Waypoint("country", 41.0, -73.0, 400_000.0, "train"))
+    boxes = [TzRegion(f"z{i}", a := 40 + pick.random(), a + 0.02, b := -74 + pick.random(), b + 0.02) for i in range(150)]
+    boxes += [TzRegion("large", 30.0, 50.0, -80.0, -60.0), TzRegion("world", -90.0, 90.0, -180.0, 180.0)]
+    spots = [(i, "u", "d", 40 + pick.random() * 1.2, -74 + pick.random() * 1.2) for i in range(400)] + [(400, "u", "d", 0.0, 179.9)]
+    pts = spark.createDataFrame(spots, "record_id long, user string, device string, lat double, lon double")
+
+    def metres(p, w):
+        from math import asin, cos, radians, sin, sqrt
+
+        a, b = radians(p[3]), radians(w.lat)
+        h = sin((b - a) / 2) ** 2 + cos(a) * cos(b) * sin(radians(w.lon - p[4]) / 2) ** 2
+        return 2 * 6_371_000 * asin(sqrt(h))
+
+    want = {(p[0], w.name) for p in spots for w in stops if metres(p, w) <= w.radius_m}
+    assert {(r.record_id, r.zone) for r in Z.points_in_waypoints(pts, stops).collect()} == want
+    listed = Z.with_zone_candidates(pts, Z.waypoint_circles(spark, stops), "near")
+    assert {(r.record_id, z.zone) for r in listed.collect() for z in r.near} == want
+
+    def zone(p):
+        inside = [r for r in boxes if r.lat_min <= p[3] <= r.lat_max and r.lon_min <= p[4] <= r.lon_max]
+        return min(inside, key=lambda r: (r.area, r.tz)).tz if inside else "none"
+
+    got = {r.record_id: r.timezone for r in Z.resolve_timezone(pts, boxes, "none").collect()}
+    assert got == {p[0]: zone(p) for p in spots}
+    # the country does not widen the cells of the stops
+    cells, levels = Z._cells(Z._circle_boxes(Z.waypoint_circles(spark, stops)))
+    assert len(levels) > 1 and cells.groupBy(*Z._CELL).count().agg({"count": "max"}).first()[0] < 25

@@ -2,8 +2,10 @@
 
 Small zone sets (the normal case: a person's own stops and routes) become plain
 expressions. Larger ones become a grid index, one row per cell with the zones that
-can reach it, joined on the cell key; a point never meets zones from other cells and
-the join never multiplies points.
+can reach it, joined on the cell key; a point never meets zones from other cells.
+Every zone lies in the grid whose cells are about its own size, so one country-sized box
+does not put a thousand stops into one cell; a point looks into each grid in use, of
+which there are LEVELS at most.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from tripweave.schema import _D, _S, _struct
 
 UNROLL_LIMIT = 96
 BROADCAST_ROWS = 200_000
+#: Cell sizes in degrees are FINEST times a power of two; the last one is larger than the globe.
+FINEST, LEVELS = 0.005, 17
 
 _CIRCLE = _struct(
     ("zone", _S), ("mode", _S), ("zone_lat", _D), ("zone_lon", _D), ("radius_m", _D), ("dlat", _D), ("dlon", _D)
@@ -25,9 +29,9 @@ _CIRCLE = _struct(
 _BOX = _struct(("zone", _S), ("lat_min", _D), ("lat_max", _D), ("lon_min", _D), ("lon_max", _D))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; larger frames are left to a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, entries: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting the (zone, cell) entries that ``df`` holds; larger frames are left to a shuffle join."""
+    return F.broadcast(df) if entries.limit(max_rows + 1).count() <= max_rows else df
 
 
 def waypoint_circles(spark: SparkSession, waypoints: Sequence[Waypoint]) -> DataFrame:
@@ -48,19 +52,22 @@ def tz_boxes(spark: SparkSession, regions: Sequence[TzRegion]) -> DataFrame:
     return spark.createDataFrame([(r.tz, r.lat_min, r.lat_max, r.lon_min, r.lon_max) for r in regions], _BOX)
 
 
-def _cells(boxes: DataFrame) -> tuple[DataFrame, float]:
-    """Explode boxes over grid cells; the cell size follows the largest box, so a box
-    touches at most a handful of cells. Longitudes wrap at the antimeridian."""
-    extent = boxes.agg(
-        F.max(F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min")))
-    ).first()[0]
-    step = max(0.005, float(extent or 0.0))
-    wrapped = boxes.withColumn("_turn", F.explode(F.array(*[F.lit(t) for t in (-360.0, 0.0, 360.0)]))).withColumns(
+def _step(level: Column) -> Column:
+    return F.lit(FINEST) * F.pow(F.lit(2.0), level)
+
+
+def _cells(boxes: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Boxes exploded over the cells of their own grid, and the grids in use. A cell is at least as wide as its boxes, so a
+    box touches a handful of cells. Longitudes wrap at the antimeridian."""
+    extent = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"), F.lit(FINEST))
+    level = F.least(F.greatest(F.ceil(F.log2(extent / FINEST)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+    wrapped = boxes.withColumn("cell_level", level).withColumn("_turn", F.explode(F.array(*[F.lit(t) for t in (-360.0, 0.0, 360.0)]))).withColumns(
         {
             "_lon0": F.greatest(F.col("lon_min") + F.col("_turn"), F.lit(-180.0)),
             "_lon1": F.least(F.col("lon_max") + F.col("_turn"), F.lit(180.0)),
         }
     )
+    step = _step(F.col("cell_level"))
     cells = (
         wrapped.filter("_lon0 <= _lon1")
         .withColumn("cell_lat", F.explode(F.sequence(F.floor(F.col("lat_min") / step), F.floor(F.col("lat_max") / step))))
@@ -68,7 +75,8 @@ def _cells(boxes: DataFrame) -> tuple[DataFrame, float]:
         .drop("_turn", "_lon0", "_lon1")
         .distinct()
     )
-    return cells, step
+    used = boxes.select(level.alias("level")).distinct().collect()  # LEVELS rows at most
+    return cells, sorted(r["level"] for r in used if r["level"] is not None)
 
 
 def _circle_boxes(circles: DataFrame) -> DataFrame:
@@ -82,17 +90,30 @@ def _circle_boxes(circles: DataFrame) -> DataFrame:
     ).drop("dlat", "dlon")
 
 
-def _cell_of(step: float) -> dict[str, Column]:
-    return {"cell_lat": F.floor(F.col("lat") / step), "cell_lon": F.floor(F.col("lon") / step)}
+_CELL = ["cell_level", "cell_lat", "cell_lon"]
+
+
+def _cell_of(level: Column) -> dict[str, Column]:
+    return {"cell_level": level, "cell_lat": F.floor(F.col("lat") / _step(level)), "cell_lon": F.floor(F.col("lon") / _step(level))}
+
+
+def _looked_up(pts: DataFrame, index: DataFrame, cells: DataFrame, levels: Sequence[int], out: str) -> DataFrame:
+    """Add ``out``: what the index's array holds for the point's cell in every grid in use, one join for each."""
+    found = []
+    for level in levels:
+        one = index.filter(F.col("cell_level") == level).withColumnRenamed(out, f"_{out}_{level}")
+        pts = pts.withColumns(_cell_of(F.lit(level))).join(broadcast_if_small(one, cells), _CELL, "left").drop(*_CELL)
+        found.append(f"_{out}_{level}")
+    kind = index.schema[out].dataType
+    arrays = [F.coalesce(F.col(c), F.array().cast(kind)) for c in found] or [F.array().cast(kind)]
+    return pts.withColumn(out, F.concat(*arrays)).drop(*found)
 
 
 def with_zone_candidates(pts: DataFrame, circles: DataFrame, out: str) -> DataFrame:
     """Add ``out``: the zones whose circle may hold the point, with their distance."""
-    cells, step = _cells(_circle_boxes(circles))
-    index = cells.groupBy("cell_lat", "cell_lon").agg(
-        F.collect_list(F.struct("zone", "mode", "zone_lat", "zone_lon", "radius_m")).alias(out)
-    )
-    joined = pts.withColumns(_cell_of(step)).join(broadcast_if_small(index), ["cell_lat", "cell_lon"], "left")
+    cells, levels = _cells(_circle_boxes(circles))
+    index = cells.groupBy(*_CELL).agg(F.collect_list(F.struct("zone", "mode", "zone_lat", "zone_lon", "radius_m")).alias(out))
+    joined = _looked_up(pts, index, cells, levels, out)
 
     def measured(z: Column) -> Column:
         distance = haversine_m(F.col("lat"), F.col("lon"), z["zone_lat"], z["zone_lon"])
@@ -101,21 +122,25 @@ def with_zone_candidates(pts: DataFrame, circles: DataFrame, out: str) -> DataFr
         )
 
     hits = F.filter(F.transform(F.col(out), measured), lambda z: z["distance_m"] <= z["radius_m"])
-    return joined.withColumn(out, F.coalesce(hits, F.array().cast(_HITS))).drop("cell_lat", "cell_lon")
+    return joined.withColumn(out, F.coalesce(hits, F.array().cast(_HITS)))
 
 
 _HITS = "array<struct<zone:string,mode:string,radius_m:double,distance_m:double>>"
 
 
 def _zone_join(pts: DataFrame, circles: DataFrame) -> DataFrame:
-    cells, step = _cells(_circle_boxes(circles))
+    cells, levels = _cells(_circle_boxes(circles))
     cells = cells.drop("lat_min", "lat_max", "lon_min", "lon_max")
+    # one copy of a point for each grid in use
+    level = F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))
     return (
-        pts.withColumns(_cell_of(step))
-        .join(broadcast_if_small(cells), ["cell_lat", "cell_lon"])
+        pts.withColumn("_grid", level)
+        .withColumns(_cell_of(F.col("_grid")))
+        .drop("_grid")
+        .join(broadcast_if_small(cells, cells), _CELL)
         .withColumn("zone_distance_m", haversine_m("lat", "lon", "zone_lat", "zone_lon"))
         .filter("zone_distance_m <= radius_m")
-        .drop("cell_lat", "cell_lon")
+        .drop(*_CELL)
     )
 
 
@@ -169,20 +194,15 @@ def resolve_timezone(
         found = [F.when(holds(r), r.tz) for r in sorted(tz_regions, key=lambda r: (r.area, r.tz))]
         return pts.withColumn(out, F.coalesce(*found, F.lit(default_tz)))
     boxes = tz_regions if isinstance(tz_regions, DataFrame) else tz_boxes(pts.sparkSession, tz_regions)
-    cells, step = _cells(boxes)
+    cells, levels = _cells(boxes)
     area = (F.col("lat_max") - F.col("lat_min")) * (F.col("lon_max") - F.col("lon_min"))
-    index = cells.groupBy("cell_lat", "cell_lon").agg(
-        F.array_sort(
-            F.collect_list(F.struct(area.alias("area"), "zone", "lat_min", "lat_max", "lon_min", "lon_max"))
-        ).alias("_boxes")
-    )
+    index = cells.groupBy(*_CELL).agg(F.collect_list(F.struct(area.alias("area"), "zone", "lat_min", "lat_max", "lon_min", "lon_max")).alias("_boxes"))
     inside = F.filter(
         F.col("_boxes"),
         lambda b: F.col("lat").between(b["lat_min"], b["lat_max"]) & F.col("lon").between(b["lon_min"], b["lon_max"]),
     )
     return (
-        pts.withColumns(_cell_of(step))
-        .join(broadcast_if_small(index), ["cell_lat", "cell_lon"], "left")
-        .withColumn(out, F.coalesce(F.get(inside, F.lit(0))["zone"], F.lit(default_tz)))
-        .drop("cell_lat", "cell_lon", "_boxes")
+        _looked_up(pts, index, cells, levels, "_boxes")
+        .withColumn(out, F.coalesce(F.array_min(inside)["zone"], F.lit(default_tz)))
+        .drop("_boxes")
     )
