@@ -98,10 +98,10 @@ def review_recent(
     direction: str | None = None,
     entity: Sequence[str] = ENTITY,
 ) -> DataFrame:
-    """Review of the newest ``n`` trips per entity."""
+    """Review of the newest ``n`` trips per entity. A verdict looks no further than its trip, so other trips' points go first."""
     key = [*entity, "commute_id"]
     recent = latest_trips(commutes(pts, entity=entity), n, direction, entity).select(*key)
-    return review(pts, log, entity=entity).join(recent, key, "left_semi")
+    return review(pts.join(recent, key, "left_semi"), log, entity=entity)
 
 
 def trip_counts(reviewed: DataFrame, entity: Sequence[str] = ENTITY) -> DataFrame:
