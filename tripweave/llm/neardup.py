@@ -5,11 +5,10 @@ has fewer. Documents with equal sets are one class, named by its smallest doc_id
 band share a bucket. A pair from a bucket is compared batch after batch of its signature and given up as soon as the
 posterior probability of a similarity of ``at_least`` falls below MISS; what survives is confirmed on the full sets.
 
-Not all pairs of a bucket are formed. First every member meets the smallest one. Then, in buckets whose members are in more
-than one component, the members outside the bucket's first component meet a growing share of pivots (8, 64, 512, ... expected) of
-other components, until the bucket is one component or every member has been a pivot. A large group of copies is thus settled in about as many pairs as it has
-members, and still no link between components is left untested. The first batch of such a meeting, one bit of each of
-BITS values, is compared inside the join, so that pairs that only share a common passage are not even formed.
+Pairs are never rows. First every member meets the smallest one of its bucket. Buckets whose members are then in more than one
+component are cut into blocks, and each task holds one block of members outside the bucket's first component beside one block of
+all its members: pairs of different components are compared there, one bit of each of BITS values first, and only the links
+come out. So every link between two components is found, and a large group of copies costs its members, not its pairs.
 
 With BANDS bands of ROWS, a pair at exactly 0.8 shares no bucket with probability (1 - 0.8^5)^36 = 6e-7.
 
@@ -39,6 +38,8 @@ BANDS, ROWS = 36, 5
 MISS, BATCH = 1e-7, 30
 _SLOTS = BANDS * ROWS
 BITS = 128
+#: Members of a bucket that meet in one task.
+BLOCK = 512
 
 
 @lru_cache(1)
@@ -159,6 +160,14 @@ def prune(pairs: DataFrame, at_least: int) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def similar(p: np.ndarray, q: np.ndarray, at_least: int) -> bool:
+    """Whether two sorted sets share at least ``at_least`` per cent of their union."""
+    if 100 * min(len(p), len(q)) < at_least * max(len(p), len(q)):
+        return False
+    same = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * same >= at_least * (len(p) + len(q) - same)
+
+
 def confirm(pairs: DataFrame, at_least: int) -> DataFrame:
     """Of (a, b, set_a, set_b), the pairs whose sets share at least that part of their union."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -168,20 +177,18 @@ def confirm(pairs: DataFrame, at_least: int) -> DataFrame:
             keep = []
             for row, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) >= at_least * max(len(p), len(q)):
-                    same = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                    if 100 * same >= at_least * (len(p) + len(q) - same):
-                        keep.append(row)
+                if similar(p, q, at_least):
+                    keep.append(row)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return pairs.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
-    """(id, s1, s2, key, hub, size): the members of every bucket of two or more."""
+    """(id, key, hub, size): the members of every bucket of two or more."""
     width = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(BANDS)))
-    rows = reps.select("id", "s1", "s2", F.explode(keys).alias("key"))
+    rows = reps.select("id", F.explode(keys).alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     return rows.join(buckets, "key")
 
@@ -216,36 +223,65 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, at_least: int = AT_LEA
     wanted = members.select("id").distinct()
     sets = stage(full_sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi"), size), "sets")
 
-    labels, tested, width, share = None, None, 1, None
-    while True:
-        if labels is None:
-            pairs = members.filter("id <> hub").select(*_pair(F.col("id"), F.col("hub"))).distinct()
-        else:
-            placed = members.join(labels, members["id"] == labels["node"], "left").select("id", "s1", "s2", "key", "size", F.coalesce("label", "id").alias("label"))
-            split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("size"))
-            open_ = split.filter("low <> high")
-            if share is not None:
-                open_ = open_.filter(share < 1)
-            rows = stage(placed.drop("size").join(open_.select("key", "size", "low"), "key"), "open-buckets")
-            if rows.isEmpty():
-                break
-            width *= 8
-            was, share = share, F.lit(float(width)) / F.col("size")
-            draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-            pivots = rows.filter((draw < share) & (F.lit(True) if was is None else draw >= was))
-            pivots = pivots.select("key", F.col("id").alias("pivot"), F.col("label").alias("pivot_label"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
-            unlike = F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p2")))
-            met = rows.filter("label <> low").join(pivots, "key").filter((F.col("label") != F.col("pivot_label")) & (unlike <= most_unlike(at_least)))
-            pairs = met.select(*_pair(F.col("id"), F.col("pivot"))).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        links = stage(_tested(pairs, reps, sets, at_least), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = _merge(labels, links)
-    unstage(members, sets, tested)
+    hubs = stage(members.filter("id <> hub").select(*_pair(F.col("id"), F.col("hub"))).distinct(), "hub-pairs")
+    links = stage(_tested(hubs, reps, sets, at_least), "links")
+    labels = components(links)
+    more = stage(block_links(members, reps, sets, labels, at_least), "block-links")
+    labels = _merge(labels, more)
+    unstage(members, sets, hubs, links)
     return full_labels(slim, reps, labels)
 
 
+def block_links(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, at_least: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components, enough to unite what is linked."""
+    kind = members.schema["id"].dataType.simpleString()
+    placed = members.join(labels, members["id"] == labels["node"], "left").select("id", "key", F.coalesce("label", "id").alias("label"))
+    lows = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "low")
+    rows = placed.join(lows, "key").withColumn("other", F.col("label") != F.col("low"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("other").alias("n_other"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = stage(rows.join(sizes, "key").select("key", "id", "label", "other", blocks("n").alias("alls"), blocks("n_other").alias("others")), "open-buckets")
+    draw = F.xxhash64("id")
+    left = rows.filter("other").select("key", "id", "label", F.lit(True).alias("left"), F.pmod(draw, "others").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"))
+    right = rows.select("key", "id", "label", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), F.pmod(draw, "alls").alias("j"))
+    dealt = left.unionByName(right.select(*left.columns)).select("key", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "id", "label", "left")
+    facts = reps.select("id", "sig", "s1", "s2").join(sets, "id")
+    dealt = dealt.join(facts, "id")
+
+    def meet(group: pa.Table) -> pa.Table:
+        side = group.column("left").to_numpy(zero_copy_only=False)
+        ids, label = group.column("id").to_pylist(), np.unique(np.array(group.column("label").to_pylist()), return_inverse=True)[1]
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, _SLOTS)
+        bits = np.stack([group.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64)
+        full = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        rights = np.flatnonzero(~side)
+        up = list(range(int(label.max()) + 1))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        found = []
+        for x in np.flatnonzero(side).tolist():
+            some = rights[label[rights] != label[x]]
+            some = some[np.bitwise_count(bits[some] ^ bits[x]).sum(1) <= most_unlike(at_least)]
+            matches, seen = np.zeros(len(some), np.int64), 0
+            for n, needed in least_matches(at_least):
+                matches += (sig[some, seen:n] == sig[x, seen:n]).sum(1)
+                some, matches, seen = some[matches >= needed], matches[matches >= needed], n
+            # the likeliest first: what is united needs no further look
+            for y in some[np.argsort(-matches, kind="stable")].tolist():
+                p, q = root(int(label[x])), root(int(label[y]))
+                if p != q and similar(full[x], full[y], at_least):
+                    up[q] = p
+                    found.append((ids[x], ids[y]))
+        return pa.table({"a": pa.array([f[0] for f in found], group.column("id").type), "b": pa.array([f[1] for f in found], group.column("id").type)})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}").distinct()
+
+
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels after further links: components of the components."""
     if labels is None:
