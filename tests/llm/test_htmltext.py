@@ -65,3 +65,14 @@ def test_frame_with_nulls_and_clashing_names(spark):
 def test_smoothing_keeps_constants_and_threshold_parts_clusters():
     assert np.allclose(ht.smooth(np.full(9, 4.0)), 4)
     assert 2 < ht.threshold(np.array([0.0, 1, 2, 9, 10])) < 9
+
+
+def test_sibling_articles_and_links_in_a_landmark():
+    long = "Words of the first article, of which there are many in this line. " * 5
+    links = "".join(f"<li><a href=/{i}>Other story {i}</a></li>" for i in range(4))
+    page = (
+        f"<body><div>Welcome.</div><article><h1>One</h1><p>{long}</p><ul>{links}</ul><p>{long}</p><p><a href=x>Read the whole of it</a></p></article>"
+        "<article><h2><a href=y>Two</a></h2><p>A short second article.</p></article><div role=main><p>Third.</p></div></body>"
+    )
+    one = long.strip()
+    assert ht.main_text(page).split("\n") == ["One", one, one, "Read the whole of it", "Two", "A short second article.", "Third."]

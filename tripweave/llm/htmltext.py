@@ -4,7 +4,8 @@ The standard library's parser streams events. Block elements and <br> inside non
 text, its number of tags, how much of its text lies in links, and the landmarks that enclose it. Elements that by their
 name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments give lines without weight; scripts and styles
 give no text. The ratio of text to tags is smoothed along the page and cut at a threshold between its two clusters; runs of content
-lines make regions, and the region with most text is taken as a whole, inside the article or main landmark if the page has one.
+lines make regions. Article and main landmarks bound the curve: each has its own threshold and all its regions are taken, while three or
+more links in a row are dropped there too. On pages without them the region with most text is taken as a whole.
 
 Null or empty html, and pages without text, give an empty text. Entities are decoded, white space inside a block becomes one
 space, blocks are joined by a line break. Unclosed and stray tags, comments, and pages of any length are handled; rows repeat.
@@ -163,45 +164,51 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None) -> str:
-    parser = Lines()
-    parser.feed(html or "")
-    parser.close()
-    lines = [(" ".join("".join(x.text).split()), x) for x in parser.lines]
-    lines = [(t, x) for t, x in lines if t]
-    usable = [i for i, (_, x) in enumerate(lines) if not x.chrome]
-    if not usable:
-        return ""
-    marks = {}
-    for i in usable:
-        if lines[i][1].landmark:
-            marks[lines[i][1].landmark] = marks.get(lines[i][1].landmark, 0) + len(lines[i][0])
-    if marks:  # the page says where its article is
-        best = max(marks, key=lambda m: (marks[m], -m))
-        return "\n".join(lines[i][0] for i in usable if lines[i][1].landmark == best)
+def content(lines: list[tuple[str, Line]], landmark: bool) -> list[str]:
+    """The content of a page's lines, or of those of one landmark. A landmark's ends count as text, and up to two links in its text do not end it."""
     ratio = np.array([0.0 if x.chrome else max(0, len(t) - 2 * x.linked) / max(1, x.tags) for t, x in lines])
+    usable = [i for i, (_, x) in enumerate(lines) if not x.chrome]
+    if not ratio.any():
+        return []
     curve = smooth(ratio)
     # from here on the boilerplate lines are passed over, so a form or an advert inside the article does not end it
     ratio, curve, texts = ratio[usable], curve[usable], [lines[i][0] for i in usable]
-    content = (curve > min(threshold(curve), float(curve.max()) / 2)) & (ratio > 0)
-    if not content.any():
-        content = ratio > 0
-    # regions: content lines with at most two weak lines between them
+    strong = (curve > min(threshold(curve), float(curve.max()) / 2)) & (ratio > 0)
+    if not strong.any():
+        strong = ratio > 0
+    # short lines that are text and not links belong to the content lines beside them
+    at = np.flatnonzero(ratio > 0)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(at) > (3 if landmark else 1)) + 1])
+    ends = np.concatenate([starts[1:], [len(at)]]) - 1
+    runs = np.flatnonzero(np.add.reduceat(strong[at].astype(int), starts))
+    # regions: runs with at most two weak lines between them
     regions: list[list[int]] = []
-    for i in np.flatnonzero(content).tolist():
-        if regions and i - regions[-1][1] <= 3:
-            regions[-1][1] = i
+    for first, last in zip(at[starts[runs]].tolist(), at[ends[runs]].tolist(), strict=True):
+        if regions and first - regions[-1][1] <= 3:
+            regions[-1][1] = last
         else:
-            regions.append([i, i])
-    if not regions:
-        return ""
-    first, last = max(regions, key=lambda r: sum(len(texts[i]) for i in range(r[0], r[1] + 1) if content[i]))
-    # short lines at the edges that are text and not links belong to the region
-    while first and ratio[first - 1] > 0:
-        first -= 1
-    while last + 1 < len(texts) and ratio[last + 1] > 0:
-        last += 1
-    return "\n".join(texts[i] for i in range(first, last + 1) if ratio[i] > 0)
+            regions.append([first, last])
+    if landmark:
+        regions[0][0] *= regions[0][0] > 2
+        regions[-1][1] = len(texts) - 1 if regions[-1][1] >= len(texts) - 3 else regions[-1][1]
+        return [texts[i] for first, last in regions for i in range(first, last + 1)]
+    first, last = max(regions, key=lambda r: sum(len(texts[i]) for i in range(r[0], r[1] + 1) if strong[i]))
+    return [texts[i] for i in range(first, last + 1) if ratio[i] > 0]
+
+
+def main_text(html: str | None) -> str:
+    parser = Lines()
+    parser.feed(html or "")
+    parser.close()
+    lines = [(" ".join("".join(x.text).split()), x) for x in parser.lines]
+    lines = [(t, x) for t, x in lines if t]
+    marks: dict[int, list[tuple[str, Line]]] = {}
+    for t, x in lines:
+        if x.landmark:
+            marks.setdefault(x.landmark, []).append((t, x))
+    # the page says where its articles are; if there is only chrome and links, the whole page is looked at
+    found = [t for m in marks.values() for t in content(m, True)] or content(lines, False)
+    return "\n".join(found or [t for m in marks.values() for t, x in m if not x.chrome])
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
