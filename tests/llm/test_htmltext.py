@@ -76,3 +76,23 @@ def test_sibling_articles_and_links_in_a_landmark():
     )
     one = long.strip()
     assert ht.main_text(page).split("\n") == ["One", one, one, "Read the whole of it", "Two", "A short second article.", "Third."]
+
+
+def test_head_without_end_tag():
+    assert ht.main_text("<html><head><title>x</title><body><p>hello") == "hello"
+    assert ht.main_text("<html><head><title>x</title><meta charset=utf-8><p>hello") == "hello"
+    assert ht.main_text("<head><style>p {}</style> hello <p>you") == "hello\nyou"
+    assert ht.main_text("<head><title>x</title><noscript><p>no</p></noscript></head><body><p>hello") == "hello"
+
+
+def test_silent_elements_without_end_tag():
+    for tag in ("svg", "object", "button", "select", "canvas", "noscript"):
+        assert ht.main_text(f"<body><div><{tag}>mute<p>one</p><p>two</p></div><p>three</p></body>") == "one\ntwo\nthree"
+        assert ht.main_text(f"<body><div><{tag}>mute<div>mute</div></{tag}><p>two</p></div><p>three</p></body>") == "two\nthree"
+
+
+def test_form_around_the_page():
+    text = "<nav>menu</nav><h1>Title</h1><p>Text of the page, long enough.</p>"
+    assert ht.main_text(f"<body><form id=aspnetForm>{text}</form></body>") == "Title\nText of the page, long enough."
+    assert ht.main_text(f"<body><form><main>{text}</main><p>{'side ' * 50}</p></form></body>") == "Title\nText of the page, long enough."
+    assert ht.main_text(f"<body>{text}<form><label>Mail</label></form></body>") == "Title\nText of the page, long enough."

@@ -9,6 +9,8 @@ more links in a row are dropped there too. On pages without them the region with
 
 Null or empty html, and pages without text, give an empty text. Entities are decoded, white space inside a block becomes one
 space, blocks are joined by a line break. Unclosed and stray tags, comments, and pages of any length are handled; rows repeat.
+A head ends at the body or at the first thing that it cannot hold. Another silent element without end tag ends with the block around it, and what
+follows the first block in it is text. A form around a landmark or around most of the page's text is a plain container.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ BLOCK = frozenset(
     " header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SILENT = frozenset("script style noscript template head title svg math object iframe canvas audio video select option button textarea input datalist".split())
-CHROME = frozenset("nav aside footer form dialog menu".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
+#: What may stand in a head whose end tag is left out; anything else ends it.
+HEAD = frozenset("base link meta title style script noscript template head html".split())
+CHROME = frozenset("nav aside footer dialog menu".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar tablist".split())
 #: Words of a class or id that mark what is not the article.
 CHROME_WORDS = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer"
@@ -52,6 +56,17 @@ class Line:
     linked: int = 0
     chrome: bool = False
     landmark: int = 0
+    #: Open forms, by number.
+    forms: tuple[int, ...] = ()
+    #: Text that counts if none of the silent elements around it has an end tag: place in ``text``, its length in links, elements.
+    muted: list[tuple[int, int, tuple["Silent", ...]]] = field(default_factory=list)
+
+
+@dataclass
+class Silent:
+    ended: bool = False
+    #: A block began in it: what follows is silent only if the element has an end tag.
+    block: bool = False
 
 
 def is_chrome(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
@@ -74,31 +89,52 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines = [Line()]
-        #: Open elements: tag, chrome, silent, landmark.
-        self.open: list[tuple[str, bool, bool, int]] = []
+        #: Open elements: tag, chrome, silent, landmark, form.
+        self.open: list[tuple[str, bool, Silent | None, int, int]] = []
         self.links = self.landmarks = 0
-        self.levels = [0, 0, 0]  # open chrome, silent and landmark elements
+        self.levels = [0, 0]  # open chrome and landmark elements
+        self.silent: list[Silent] = []
+        self.forms: list[int] = []
+        self.n_forms = 0
+        #: Forms that enclose a landmark.
+        self.plain: set[int] = set()
 
     def _cut(self) -> None:
         if self.lines[-1].text or self.lines[-1].tags:
             self.lines.append(Line())
         line = self.lines[-1]
-        line.chrome, line.landmark = self.levels[0] > 0, self.levels[2] and self.landmarks
+        line.chrome, line.landmark, line.forms = self.levels[0] > 0, self.levels[1] and self.landmarks, tuple(self.forms)
+
+    def _end_head(self, tag: str) -> None:
+        """A head without end tag ends where the body begins, or with the first thing that a head cannot hold."""
+        if tag == "body" and any(t == "head" for t, *_ in self.open[:4]) or self.open and self.open[-1][0] == "head" and tag not in HEAD:
+            self.handle_endtag("head")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._end_head(tag)
         if tag in BLOCK:
+            for s in self.silent:
+                s.block = True
             if tag == "p" and any(t == "p" for t, *_ in self.open[-4:]):
                 self.handle_endtag("p")
             if tag in ("li", "dd", "dt", "tr", "td", "th") and self.open and self.open[-1][0] == tag:
                 self.handle_endtag(tag)
         if tag not in VOID:
-            chrome = is_chrome(tag, attrs, self.levels[2] > 0)
+            chrome = is_chrome(tag, attrs, self.levels[1] > 0)
             mark = tag in ("article", "main") or dict(attrs).get("role") in ("main", "article")
-            self.open.append((tag, chrome, tag in SILENT, int(mark)))
+            silent = Silent() if tag in SILENT else None
+            form = 0
+            if tag == "form" or (dict(attrs).get("role") or "").lower() == "form":
+                self.n_forms = form = self.n_forms + 1
+                self.forms.append(form)
+            self.open.append((tag, chrome, silent, int(mark), form))
             self.levels[0] += chrome
-            self.levels[1] += tag in SILENT
-            self.levels[2] += mark
-            self.landmarks += mark and self.levels[2] == 1
+            if silent:
+                self.silent.append(silent)
+            self.levels[1] += mark
+            self.landmarks += mark and self.levels[1] == 1
+            if mark:
+                self.plain.update(self.forms)
             self.links += tag == "a"
         if tag in BLOCK:
             self._cut()
@@ -125,20 +161,47 @@ class Lines(HTMLParser):
         else:
             closing = list(range(len(self.open) - 1, at - 1, -1))
         for i in closing:
-            t, chrome, silent, mark = self.open.pop(i)
+            t, chrome, silent, mark, form = self.open.pop(i)
             self.levels[0] -= chrome
-            self.levels[1] -= silent
-            self.levels[2] -= mark
+            if silent:
+                silent.ended = i == at
+                self.silent.remove(silent)
+            self.levels[1] -= mark
+            if form:
+                self.forms.remove(form)
             self.links -= t == "a"
         if tag in BLOCK:
             self._cut()
 
     def handle_data(self, data: str) -> None:
-        if self.levels[1]:
-            return
-        self.lines[-1].text.append(data)
-        if self.links:
-            self.lines[-1].linked += len(data.strip())
+        if data.strip():
+            self._end_head("")
+        line, linked = self.lines[-1], len(data.strip()) if self.links else 0
+        if all(s.block for s in self.silent):
+            if self.silent:
+                line.muted.append((len(line.text), linked, tuple(self.silent)))
+            line.text.append(data)
+            line.linked += linked
+
+    def close(self) -> None:
+        """Silent elements that have an end tag, and forms that hold little of the page, lose their text."""
+        super().close()
+        for line in self.lines:
+            for at, linked, around in line.muted:
+                if any(s.ended for s in around):
+                    line.text[at] = ""
+                    line.linked -= linked
+        sizes: dict[int, int] = {}
+        total = 0
+        for line in self.lines:
+            if not line.chrome:
+                n = len(" ".join("".join(line.text).split()))
+                total += n
+                for form in line.forms:
+                    sizes[form] = sizes.get(form, 0) + n
+        self.plain.update(form for form, n in sizes.items() if 2 * n > total)
+        for line in self.lines:
+            line.chrome = line.chrome or not self.plain.issuperset(line.forms)
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
