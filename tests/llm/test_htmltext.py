@@ -96,3 +96,14 @@ def test_form_around_the_page():
     assert ht.main_text(f"<body><form id=aspnetForm>{text}</form></body>") == "Title\nText of the page, long enough."
     assert ht.main_text(f"<body><form><main>{text}</main><p>{'side ' * 50}</p></form></body>") == "Title\nText of the page, long enough."
     assert ht.main_text(f"<body>{text}<form><label>Mail</label></form></body>") == "Title\nText of the page, long enough."
+
+
+def test_regions_and_links_without_landmarks():
+    paragraphs = [f"Paragraph {i} of the piece, " + "with words enough to be one. " * (4 if i != 1 else 300) for i in range(6)]
+    want = [" ".join(p.split()) for p in paragraphs]
+    links = [f"<p><a href=/{i}>Something else {i}</a></p>" for i in range(8)]
+    block = lambda some: "".join(f"<p>{p}</p>" for p in some)
+    got = ht.main_text(f"<body>{block(paragraphs[:3])}{''.join(links)}{block(paragraphs[3:])}</body>")
+    assert got.split("\n") == want
+    got = ht.main_text(f"<body>{block(paragraphs[:3])}{links[0]}{links[1]}{block(paragraphs[3:])}</body>")
+    assert got.split("\n") == [*want[:3], "Something else 0", "Something else 1", *want[3:]]

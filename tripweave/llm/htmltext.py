@@ -3,9 +3,9 @@
 The standard library's parser streams events. Block elements and <br> inside none end a line; every line has its
 text, its number of tags, how much of its text lies in links, and the landmarks that enclose it. Elements that by their
 name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments give lines without weight; scripts and styles
-give no text. The ratio of text to tags is smoothed along the page and cut at a threshold between its two clusters; runs of content
-lines make regions. Article and main landmarks bound the curve: each has its own threshold and all its regions are taken, while three or
-more links in a row are dropped there too. On pages without them the region with most text is taken as a whole.
+give no text. The logarithm of the ratio of text to tags is smoothed along the page and cut at a threshold between its two clusters; runs of content
+lines make regions, and all regions are taken, with the links in them. Article and main landmarks bound the curve: each has its own threshold,
+while three or more links in a row are dropped there too.
 
 Null or empty html, and pages without text, give an empty text. Entities are decoded, white space inside a block becomes one
 space, blocks are joined by a line break. Unclosed and stray tags, comments, and pages of any length are handled; rows repeat.
@@ -233,7 +233,8 @@ def content(lines: list[tuple[str, Line]], landmark: bool) -> list[str]:
     usable = [i for i, (_, x) in enumerate(lines) if not x.chrome]
     if not ratio.any():
         return []
-    curve = smooth(ratio)
+    # by orders of size, so one huge paragraph does not make weak lines of the others
+    curve = smooth(np.log1p(ratio))
     # from here on the boilerplate lines are passed over, so a form or an advert inside the article does not end it
     ratio, curve, texts = ratio[usable], curve[usable], [lines[i][0] for i in usable]
     strong = (curve > min(threshold(curve), float(curve.max()) / 2)) & (ratio > 0)
@@ -254,9 +255,7 @@ def content(lines: list[tuple[str, Line]], landmark: bool) -> list[str]:
     if landmark:
         regions[0][0] *= regions[0][0] > 2
         regions[-1][1] = len(texts) - 1 if regions[-1][1] >= len(texts) - 3 else regions[-1][1]
-        return [texts[i] for first, last in regions for i in range(first, last + 1)]
-    first, last = max(regions, key=lambda r: sum(len(texts[i]) for i in range(r[0], r[1] + 1) if strong[i]))
-    return [texts[i] for i in range(first, last + 1) if ratio[i] > 0]
+    return [texts[i] for first, last in regions for i in range(first, last + 1)]
 
 
 def main_text(html: str | None) -> str:
