@@ -62,3 +62,13 @@ def test_nulls_empty_and_no_labels(spark):
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, "you scum here").otherwise("all is well").alias("text"))
     got = {r.doc_id: r.score for r in tox.score(docs, tox.fit(docs, some)).collect()}
     assert all((got[i] > 0.5) == (i % 2 == 1) for i in got)
+
+
+def test_long_tokens_and_words_of_a_spaced_phrase(chance):
+    read = tox.Restorer(chance)
+    for phrase in ("that stupid idiot and this pathetic moron", "this is the idiot " * 40):
+        plain = " ".join(phrase.split())
+        assert read.restore(" ".join(plain.replace(" ", ""))).split() == plain.split()
+    long = ",".join(["1d10t"] * 30)
+    assert set(read.decode(long).replace(",", " ").split()) == {"idiot"}
+    assert "idiot" in read.decode("x" * 100_000 + "-1d10t")

@@ -1,7 +1,7 @@
 """Toxicity: a noisy channel restores disguised words, then the restored text is scored.
 
 A character language model (four letters, all documents) and a channel of leetspeak, stray signs, spacing and repetition
-span a lattice over each disguised token; the Viterbi path is what the writer meant. Labels teach which words and word
+span a lattice over each disguised token of any length; the Viterbi path is what the writer meant, words apart. Labels teach which words and word
 beginnings are found in toxic documents and not in others, and a logistic model over a document's worst ones gives the score.
 
 Null and empty texts have no words and get the score of a document without any sign of toxicity. Texts are read whole, by
@@ -42,9 +42,10 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h",
 }
-#: Costs in nats: reading a sign as a letter, dropping a sign, halving a double letter, shortening a longer run.
-SIGN, DROP, HALVE, SHORTEN = 0.5, 2.5, 3.0, 0.5
-LONGEST = 40
+#: Costs in nats: reading a sign as a letter, dropping a sign, halving a double letter, shortening a longer run, ending a word.
+SIGN, DROP, HALVE, SHORTEN, GAP = 0.5, 2.5, 3.0, 0.5, 1.0
+#: Letters of a token whose decoding is remembered; longer ones are decoded each time.
+REMEMBERED = 40
 
 _LETTER = tx.byte_set((97, 122), (128, 255))
 _DIGIT = tx.byte_set((48, 57))
@@ -55,6 +56,9 @@ _DISGUISED = re.compile(
     r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])"  # i d i o t
     r"|(?<!\S)[^\s\w]?\w*(?:(?<=[^\W\d_])[0-9@$!|+(*#.\-_]+(?=[^\W_])|(?<![^\s])[0-9@$!|+(]+(?=[^\W\d_]{2})|(\w)\2{2,})\S*".replace("\\2", "\\1")
 )
+_SPACED = re.compile(r"(?:\w[ .\-_*])+\w")
+_SPACED_RUN = re.compile(r"[ .\-_*]+|(.)\1*", re.S)
+_RUN = re.compile(r"[.\-_]+|(.)\1*", re.S)
 
 
 def letter_counts(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -99,8 +103,8 @@ class Restorer:
         return _DISGUISED.sub(lambda m: self.decode(m[0]), text)
 
     def decode(self, token: str) -> str:
-        if len(token) > LONGEST:
-            return token
+        if len(token) > REMEMBERED:
+            return self._viterbi(token)
         if len(self.known) > 50_000:
             self.known.clear()
         if token not in self.known:
@@ -108,31 +112,41 @@ class Restorer:
         return self.known[token]
 
     def _steps(self, token: str) -> Iterator[list[tuple[str, float]]]:
-        """For each run of one character, the letters it may stand for and what that costs."""
-        spaced = bool(re.fullmatch(r"(?:\w[ .\-_*])+\w", token))
-        for run in re.finditer(r"(.)\1*", token, re.S):
-            c, n = run[1], len(run[0])
+        """For each run of one character, or of separators, what it may stand for and what that costs; what is no letter ends a word."""
+        spaced = bool(_SPACED.fullmatch(token))
+        wide = min(map(len, re.findall(r"[ .\-_*]+", token))) if spaced else 0
+        for run in (_SPACED_RUN if spaced else _RUN).finditer(token):
+            whole, c = run[0], run[0][0]
+            n = len(whole)
             if c.isalpha():
                 yield [(c, SHORTEN if n > 2 else HALVE), (c * 2, SHORTEN if n > 2 else 0.0)] if n > 1 else [(c, 0.0)]
+            elif spaced and c in " .-_*":  # wider than elsewhere in the token: between words
+                yield [("", 0.0 if n == wide else GAP), (" ", GAP if n == wide else 0.0)]
             else:
-                read = [(x * k, SIGN * n) for x in LEET.get(c, "") for k in ({1, min(n, 2)} if not spaced or c != "*" else ())]
-                yield read + [("", 0.0 if spaced and c in " .-_*" else DROP if not c.isdigit() else 2 * DROP)]
+                drop = DROP if not c.isdigit() else 2 * DROP
+                yield [(x * k, SIGN * n) for x in LEET.get(c, "") for k in {1, min(n, 2)}] + [("", drop), (whole, drop)]
 
     def _viterbi(self, token: str) -> str:
-        best = {(0, 0, 0): (0.0, "")}
+        # a path is (path before, letters), so that paths share what they have in common
+        best: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
         for step in self._steps(token):
-            after: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for state, (score, text) in best.items():
+            after: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+            for state, (score, path) in best.items():
                 for letters, cost in step:
                     s, now = state, score - cost
-                    for c in letters:
-                        code = ord(c) - 96 if "a" <= c <= "z" else 27
+                    for c in letters if letters[:1].isalpha() else letters[:1]:
+                        code = ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
                         now += float(self.chance[s][code])
                         s = (s[1], s[2], code)
                     if s not in after or now > after[s][0]:
-                        after[s] = (now, text + letters)
+                        after[s] = (now, (path, letters) if letters else path)
             best = after
-        return max((score + float(self.chance[s][0]), text) for s, (score, text) in best.items())[1]
+        path = max(((score + float(self.chance[s][0]), path) for s, (score, path) in best.items()), key=lambda x: x[0])[1]
+        parts = []
+        while path:
+            path, letters = path
+            parts.append(letters)
+        return "".join(reversed(parts))
 
 
 def fold(data: np.ndarray) -> np.ndarray:
