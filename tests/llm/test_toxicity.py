@@ -72,3 +72,27 @@ def test_long_tokens_and_words_of_a_spaced_phrase(chance):
     long = ",".join(["1d10t"] * 30)
     assert set(read.decode(long).replace(",", " ").split()) == {"idiot"}
     assert "idiot" in read.decode("x" * 100_000 + "-1d10t")
+
+
+def test_signs_at_the_end_and_runs_of_separators(chance):
+    read = tox.Restorer(chance)
+    for disguised, plain in [
+        ("idi0+", "idiot"), ("idio7", "idiot"), ("tras#", "trash"), ("id----iot", "idiot"), ("mo....ron", "moron"), ("mo.-.ron", "moron"), ("i  d  i  o  t", "idiot"),
+        ("i - d - i - o - t", "idiot"), ("m--o--r--o--n", "moron"), ("well,1d10t)", "well,idiot)"), ("idio7.", "idiot."), ("i d i o t  m o r o n", "idiot moron"),
+    ]:
+        assert read.restore(disguised) == plain, disguised
+    for text in ("a$$", "shi7", "shi+", "idi0+", "id----iot", "mo....ron", "i  d  i  o  t", "i - d - i - o - t", "ééé", "e é e é", "well-known", "wow!", "$tupid"):
+        # alone and beside another hit alike
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert tox.suspicious(data, np.array([0, len(data)])).tolist() == [True], text
+        assert read.restore(text + " , 1d10t") == read.restore(text) + " , idiot"
+    assert read.restore("of that-this, and 1000 or 2,000") == "of that-this, and 1000 or 2,000"
+
+
+def test_byte_marks_cover_the_expression():
+    draw = np.random.default_rng(3)
+    for letters in ("ab1$.-_ *", "aé -.", "a1!, é"):
+        for _ in range(3000):
+            text = "".join(draw.choice(list(letters), draw.integers(1, 12)))
+            data = np.frombuffer(text.encode(), np.uint8)
+            assert not tox._DISGUISED.search(text) or tox.suspicious(data, np.array([0, len(data)]))[0], text

@@ -48,15 +48,16 @@ SIGN, DROP, HALVE, SHORTEN, GAP = 0.5, 2.5, 3.0, 0.5, 1.0
 REMEMBERED = 40
 
 _LETTER = tx.byte_set((97, 122), (128, 255))
-_DIGIT = tx.byte_set((48, 57))
-_STRAY = np.isin(np.arange(256), np.frombuffer(b"0123456789@$!|+(*#.-_", np.uint8))
-_READ = np.isin(np.arange(256), np.frombuffer(b"0123456789@$!|+(", np.uint8))
+_BREAK = np.isin(np.arange(256), np.frombuffer(b".-_", np.uint8))
+_READ = np.isin(np.arange(256), np.frombuffer(b"0123456789@$!|+(*#", np.uint8))
 _GAP = np.isin(np.arange(256), np.frombuffer(b" .-_*", np.uint8))
+_TOKEN = r"[\w@$!|+(*#.\-]"
 _DISGUISED = re.compile(
-    r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])"  # i d i o t
-    r"|(?<!\S)[^\s\w]?\w*(?:(?<=[^\W\d_])[0-9@$!|+(*#.\-_]+(?=[^\W_])|(?<![^\s])[0-9@$!|+(]+(?=[^\W\d_]{2})|(\w)\2{2,})\S*".replace("\\2", "\\1")
+    r"(?<![^\W_])(?:[^\W\d_][ .\-_*]+){3,}[^\W\d_](?![^\W_])"  # i d i o t
+    # a word with a sign before two letters, after a letter at any place or between two, or with one letter three times
+    rf"|(?<!{_TOKEN})(?={_TOKEN}*?(?:[0-9@$!|+(*#](?=[^\W\d_]{{2}})|[^\W\d_](?:[.\-_]*[0-9@$!|+(*#]|[.\-_]+[^\W_])|([^\W\d_])\1\1)){_TOKEN}+"
 )
-_SPACED = re.compile(r"(?:\w[ .\-_*])+\w")
+_SPACED = re.compile(r"(?:[^\W\d_][ .\-_*]+){3,}[^\W\d_]")
 _SPACED_RUN = re.compile(r"[ .\-_*]+|(.)\1*", re.S)
 _RUN = re.compile(r"[.\-_]+|(.)\1*", re.S)
 
@@ -100,7 +101,13 @@ class Restorer:
         self.chance, self.known = chance, {}
 
     def restore(self, text: str) -> str:
-        return _DISGUISED.sub(lambda m: self.decode(m[0]), text)
+        return _DISGUISED.sub(self._match, text)
+
+    def _match(self, found: re.Match[str]) -> str:
+        token = found[0]
+        core = token.strip(".-_")  # what ends a sentence
+        at = token.index(core)
+        return token[:at] + self.decode(core) + token[at + len(core) :]
 
     def decode(self, token: str) -> str:
         if len(token) > REMEMBERED:
@@ -159,22 +166,36 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts that may hold a disguised token: a stray sign or three equal letters in a word, or single letters in a row."""
+    """Texts that may hold a disguised token: all that ``_DISGUISED`` finds has one of these marks, whatever else is in the text."""
     n = len(data)
-    letter, digit, stray, gap = _LETTER[data], _DIGIT[data], _STRAY[data], _GAP[data]
-    found = np.zeros(n + 8, bool)
-    for k in (1, 2, 3):
-        if n > k + 1:
-            hit = letter[: n - k - 1] & (letter | digit)[k + 1 :]
-            for j in range(1, k + 1):
-                hit = hit & stray[j : n - k - 1 + j]
-            found[: len(hit)] |= hit
-    if n > 2:
-        found[: n - 2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
-        found[: n - 2] |= _READ[data[:-2]] & letter[1:-1] & letter[2:]
-    if n > 6:
-        found[: n - 6] |= letter[:-6] & gap[1:-5] & letter[2:-4] & gap[3:-3] & letter[4:-2] & gap[5:-1] & letter[6:]
-    before = np.concatenate([[0], np.cumsum(found[:n])])
+    letter, read = _LETTER[data], _READ[data]
+    found = np.zeros(n, bool)
+    if n > 1:  # a sign after a letter
+        found[1:] |= letter[:-1] & read[1:]
+    if n > 2:  # a sign before two letters, one letter three times
+        found[2:] |= read[:-2] & letter[1:-1] & letter[2:]
+        found[2:] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
+    for width, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        at = np.flatnonzero((data[: max(0, n - 3 * width + 1)] >= low) & (data[: max(0, n - 3 * width + 1)] < high))
+        for k in range(2 * width):
+            at = at[data[at + k] == data[at + k + width]]
+        found[at] = True
+    # any number of separators between a letter and a letter, digit or sign
+    edge = np.diff(np.concatenate([[False], _BREAK[data], [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inner = (starts > 0) & (ends < n)
+    starts, ends = starts[inner], ends[inner]
+    found[starts] |= letter[starts - 1] & (letter | read)[ends]
+    # four letters with nothing but gaps between: the two in the middle stand alone
+    edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(starts) > 3:
+        size = ends - starts
+        alone = (size == 1) | (size <= 4) & (data[starts] >= 0xC2)
+        others = np.concatenate([[0], np.cumsum(~_GAP[data])])
+        apart = others[starts[1:]] == others[ends[:-1]]
+        found[starts[1:-2]] |= apart[:-2] & apart[1:-1] & apart[2:] & alone[1:-2] & alone[2:-1]
+    before = np.concatenate([[0], np.cumsum(found)])
     return before[offsets[1:]] > before[offsets[:-1]]
 
 
