@@ -96,3 +96,17 @@ def test_byte_marks_cover_the_expression():
             text = "".join(draw.choice(list(letters), draw.integers(1, 12)))
             data = np.frombuffer(text.encode(), np.uint8)
             assert not tox._DISGUISED.search(text) or tox.suspicious(data, np.array([0, len(data)]))[0], text
+
+
+def test_rare_signs_are_ranked_by_odds_among_all(spark):
+    # 25 000 other words are in more toxic documents than the sign of three, and in as many others
+    common = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(25_000))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    sample = tox.labelled_sample(labels, "toxic", tox.held_out(4, 2), tox.TRAIN_ROWS)
+    kept = sorted(r.train_id for r in sample.filter("label = 1").collect())[:3]
+    docs = spark.createDataFrame([(i, ("scumbag " if i in kept else "") + common) for i in range(60)], "doc_id long, text string")
+    assert kept[-1] < 60
+    model = tox.fit(docs, labels)
+    word = np.frombuffer(b"scumbag", np.uint8)
+    (_, _, whole), *_ = tox.signs(word, np.array([0, len(word)]))
+    assert whole[0] in model.keys.tolist()

@@ -30,6 +30,8 @@ from tripweave.sources.storage import stage, unstage
 TRAIN_ROWS = 20_000
 #: Words and beginnings kept for the score, and toxic documents that each must be in.
 SIGNS, SUPPORT = 500, 3
+#: Signs that a task counts before it hands them on.
+FLUSH = 1_000_000
 #: Bytes of a word's beginnings, and the least log odds of a sign.
 BEGIN, LEAST = range(4, 10), 1.5
 #: Letters of the language model: 0 stands between words, 1 to 26 are a to z, 27 is a byte of any other letter.
@@ -283,6 +285,13 @@ def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def best_signs(sums: DataFrame, n_bad: int, n_good: int, most: int = SIGNS) -> DataFrame:
+    """Of all (sign, bad, good), the ``most`` signs with the greatest odds, weighted by the toxic documents that have them."""
+    odds = F.log((F.col("bad") + 0.2) / (n_bad + 0.4)) - F.log((F.col("good") + 0.2) / (n_good + 0.4))
+    fit_for = sums.withColumn("odds", odds).filter((F.col("bad") >= SUPPORT) & (F.col("odds") > LEAST))
+    return fit_for.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "sign").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Language model over all documents; signs and weights from up to ``rows`` labelled documents that are not held out."""
     model = Model(language_model(letter_counts(docs)))
@@ -291,45 +300,48 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     chosen = stage(chosen, "toxicity-sample")
     chance = model.chance
 
-    def count(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, seen, total = Restorer(chance), (Counter(), Counter()), [0, 0]
+
+        def flush() -> pa.RecordBatch:
+            names = np.array([*(seen[0] | seen[1])], np.uint64)
+            out = [
+                pa.array([*names.view(np.int64).tolist(), None], pa.int64()),
+                pa.array([*(seen[1][s] for s in names.tolist()), total[1]], pa.int64()),
+                pa.array([*(seen[0][s] for s in names.tolist()), total[0]], pa.int64()),
+            ]
+            seen[0].clear(), seen[1].clear()
+            total[:] = 0, 0
+            return pa.RecordBatch.from_arrays(out, ["sign", "bad", "good"])
+
         for batch in batches:
             label = np.array(batch.column("label").to_pylist())
             for low, high, data, offsets, _ in restored(batch, "text", read):
                 kinds = label[low:high]
                 row, sign = (np.concatenate(x) for x in zip(*((r, s) for r, _, s in signs(data, offsets)), strict=True))
-                keep = kinds[row] == 1 if wanted is None else np.isin(sign, wanted)
-                pair = np.unique(np.stack([row[keep].astype(np.uint64), sign[keep]]), axis=1)
+                pair = np.unique(np.stack([row.astype(np.uint64), sign]), axis=1)
                 for kind in (0, 1):
                     value, n = np.unique(pair[1][kinds[pair[0].astype(np.int64)] == kind], return_counts=True)
                     seen[kind].update(dict(zip(value.tolist(), n.tolist(), strict=True)))
                     total[kind] += int((kinds == kind).sum())
-        names = np.array([*(seen[0] | seen[1])], np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*names.view(np.int64).tolist(), None], pa.int64()),
-                pa.array([*(seen[1][s] for s in names.tolist()), total[1]], pa.int64()),
-                pa.array([*(seen[0][s] for s in names.tolist()), total[0]], pa.int64()),
-            ],
-            ["sign", "bad", "good"],
-        )
-
-    sums = lambda f: f.groupBy("sign").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    schema = "sign long, bad long, good long"
-    often = sums(chosen.mapInArrow(count, schema)).filter((F.col("bad") >= SUPPORT) & F.col("sign").isNotNull())
-    often = often.orderBy(F.desc("bad"), "sign").limit(40 * SIGNS).collect()  # a bounded list; rarer signs weigh least
-    often = np.array([r.sign for r in often], np.int64).view(np.uint64)
-    table = {r.sign: (r.bad, r.good) for r in sums(chosen.mapInArrow(lambda b: count(b, often), schema)).collect()}
-    model.n_bad, model.n_good = table.pop(None, (0, 0))
+                if len(seen[0]) + len(seen[1]) > FLUSH:
+                    yield flush()
+        yield flush()
+
+    sums = chosen.mapInArrow(count, "sign long, bad long, good long").groupBy("sign").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sums = stage(sums.filter((F.col("bad") >= SUPPORT) | F.col("sign").isNull()), "toxicity-signs")
+    for row in sums.filter("sign is null").collect():
+        model.n_bad, model.n_good = row.bad, row.good
     if not model.n_bad or not model.n_good:
         model.constant = model.n_bad / max(1, model.n_bad + model.n_good)
+        unstage(sums, chosen)
         return model
-    keys = np.array(sorted(table), np.int64).view(np.uint64)
-    keys.sort()
-    got = np.array([table[k] for k in keys.view(np.int64).tolist()], float).reshape(-1, 2)
-    model.keys, model.bad, model.good = keys, got[:, 0], got[:, 1]
-    best = np.sort(np.argsort(-model.odds() * np.sqrt(model.bad), kind="stable")[:SIGNS])
-    model.keys, model.bad, model.good = keys[best], got[best, 0], got[best, 1]
+    best = best_signs(sums.filter("sign is not null"), model.n_bad, model.n_good).collect()
+    unstage(sums)
+    keys = np.array([r.sign for r in best], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    got = np.array([(r.bad, r.good) for r in best], float).reshape(-1, 2)[order]
+    model.keys, model.bad, model.good = keys[order], got[:, 0], got[:, 1]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Restorer(chance)
