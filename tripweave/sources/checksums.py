@@ -14,7 +14,7 @@ def _relative(path: str) -> Column:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """One digest per file. Day folders hold files of bounded size, one per task slice."""
+    """One digest per file, each read as one row: a file above 2 GB fails the job. Those of the repository's own writers are small."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(_relative(path).alias("file"), F.sha2("content", 256).alias("digest"), "length").filter(
         ~F.col("file").rlike(r"(^|/)[_.]")
