@@ -85,3 +85,57 @@ v AS (SELECT source, (failed + mean * strength) / (n + strength) <= 0.5 AS ok FR
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept
 FROM c LEFT JOIN v USING (source)
 """
+
+MERKLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, source, lang, n_chars, text,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+crc AS (
+  SELECT doc_id, encode(CAST(doc_id AS VARCHAR)) AS b, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM d WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, b, i + 1, list_reduce([c_in] || range(0, 8), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS c
+  FROM (SELECT *, xor(c, CAST(ascii(substr(CAST(doc_id AS VARCHAR), i + 1, 1)) AS BIGINT)) AS c_in FROM crc WHERE i < octet_length(b))),
+bad AS (SELECT doc_id FROM crc WHERE i = octet_length(b) AND xor(c, 4294967295) % 5 = 0),
+f AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM d),
+l AS (
+  SELECT tree, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS other,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, sha256(head || coalesce(strlen(text) || ':' || text, '-'))) - 1 AS pos FROM f),
+low(tree, lvl, pos, h) AS (
+  SELECT tree, 0, pos, leaf FROM l
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM low) WHERE n > 1 GROUP BY tree, lvl, pos // 16),
+tops AS (SELECT tree, h AS subroot FROM low QUALIFY row_number() OVER (PARTITION BY tree ORDER BY lvl DESC) = 1),
+sub AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS pos FROM tops),
+high(lvl, pos, h) AS (
+  SELECT 0, pos, subroot FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM high) WHERE n > 1 GROUP BY lvl, pos // 16),
+root AS (SELECT h AS root FROM high ORDER BY lvl DESC LIMIT 1),
+lowtop AS (SELECT tree, max(lvl) AS top FROM low GROUP BY tree),
+hightop AS (SELECT max(lvl) AS top FROM high),
+step AS (
+  SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS x,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS y
+  FROM low a JOIN lowtop USING (tree) JOIN low b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 16 = b.pos // 16 WHERE a.lvl < top GROUP BY ALL
+  UNION ALL
+  SELECT s.tree, t.top + a.lvl, -1, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), ''),
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '')
+  FROM sub s JOIN lowtop t USING (tree) JOIN high a ON a.pos = s.pos // CAST(power(16, a.lvl) AS BIGINT) JOIN high b ON a.lvl = b.lvl AND a.pos // 16 = b.pos // 16
+  WHERE a.lvl < (SELECT top FROM hightop) GROUP BY s.tree, t.top, a.lvl),
+path AS (
+  SELECT tree, l.pos, list(x ORDER BY lvl) AS xs, list(y ORDER BY lvl) AS ys
+  FROM l JOIN step USING (tree) WHERE step.pos = -1 OR step.pos = l.pos // CAST(power(16, lvl) AS BIGINT) GROUP BY tree, l.pos),
+fold(tree, pos, i, h) AS (
+  SELECT tree, pos, 0, CASE WHEN doc_id IN (SELECT doc_id FROM bad) THEN other ELSE leaf END FROM l
+  UNION ALL
+  SELECT tree, pos, i + 1, sha256(xs[i + 1] || h || ys[i + 1]) FROM fold JOIN path USING (tree, pos) WHERE i < len(xs))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(range(1, len(xs) + 1), lambda i: xs[i] || ys[i]), ''), '')) AS proof_sha256,
+       fold.h AS folded_root, fold.h = root AS verified
+FROM l JOIN sub USING (tree) CROSS JOIN root JOIN fold ON fold.tree = l.tree AND fold.pos = l.pos LEFT JOIN path ON path.tree = l.tree AND path.pos = l.pos
+WHERE fold.i = coalesce(len(xs), 0)
+"""

@@ -1,4 +1,4 @@
-"""The ten operators over the whole tables, with production parameters; oracle SQL where SQL can say the same."""
+"""The thirteen operators over the whole tables, with production parameters; oracle SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import bpe, decontaminate, hostrules, htmltext, langid, lines, neardup, packing, quality, toxicity
+from tripweave.llm import bpe, decontaminate, hostrules, htmltext, langid, lines, merkle, neardup, packing, quality, toxicity
 from tripweave.llm import oracles as sql
 from tripweave.llm.sampling import held_out
 from tripweave.sources.storage import stage
@@ -116,3 +116,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(stats, table(spark, sf_dir, "labels"), held)
     scored = stats.select("doc_id", held.alias("held_out"), quality.compiled(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@register(sql.MERKLE)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.changed_leaf())
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=tampered)
