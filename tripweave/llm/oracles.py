@@ -139,3 +139,28 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transfo
 FROM l JOIN sub USING (tree) CROSS JOIN root JOIN fold ON fold.tree = l.tree AND fold.pos = l.pos LEFT JOIN path ON path.tree = l.tree AND path.pos = l.pos
 WHERE fold.i = coalesce(len(xs), 0)
 """
+
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09\x0A-\x0D.,;:!?]+') AS w FROM p),
+g AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) t(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+x AS (SELECT DISTINCT lang, a, array_to_string(w[i:i + j - 1], ' ') AS phrase
+      FROM (SELECT lang, a, w, j, unnest(range(1, m - j + 2)) AS i FROM c, range(2, 5) s(j) WHERE j < m)),
+k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = c.lang AND x.phrase = c.phrase AND x.a >= c.a)),
+s AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, m)) AS cut FROM k)),
+v AS (SELECT s.lang, s.phrase, a, cut, h.f AS l, o.f AS r, n, CAST(1000 AS HUGEINT) * a * n // (CAST(h.f AS HUGEINT) * o.f) AS score
+      FROM s JOIN f h ON h.lang = s.lang AND h.phrase = s.head JOIN f o ON o.lang = s.lang AND o.phrase = s.rest JOIN t ON t.lang = s.lang),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM q WHERE rank <= 2000
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import bpe, decontaminate, hostrules, htmltext, langid, lines, merkle, neardup, packing, quality, toxicity
+from tripweave.llm import bpe, collocation, decontaminate, hostrules, htmltext, langid, lines, merkle, neardup, packing, quality, toxicity
 from tripweave.llm import oracles as sql
 from tripweave.llm.sampling import held_out
 from tripweave.sources.storage import stage
@@ -122,3 +122,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.changed_leaf())
     return merkle.manifest(table(spark, sf_dir, "documents"), changed=tampered)
+
+
+@register(sql.COLLOCATIONS)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
