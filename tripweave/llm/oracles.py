@@ -164,3 +164,18 @@ q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM q WHERE rank <= 2000
 """
+
+REPEATS = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT id, s, md5(substr(x, 2 * s + 1, 800)) AS h FROM (SELECT id, x, unnest(range(0, len(x) // 2 - 399)) AS s FROM d WHERE len(x) >= 800)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+c AS (SELECT id, s FROM w SEMI JOIN r USING (h)),
+g AS (SELECT id, s, sum(CASE WHEN s - prev <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s) AS run
+      FROM (SELECT *, coalesce(lag(s) OVER (PARTITION BY id ORDER BY s), -1000) AS prev FROM c)),
+u AS (SELECT id, min(s) AS lo, max(s) + 400 AS hi FROM g GROUP BY id, run),
+k AS (SELECT id, count(*) AS n_spans, sum(hi - lo) AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM u GROUP BY id),
+e AS (SELECT d.id, doc_id, x, n_spans, n_removed, [0] || coalesce(his, []) AS f, coalesce(los, []) || [len(x) // 2] AS t FROM d LEFT JOIN k USING (id))
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(f) + 1), lambda i: substr(x, 2 * f[i] + 1, 2 * (t[i] - f[i]))), ''))) AS kept_sha256
+FROM e
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import bpe, collocation, decontaminate, hostrules, htmltext, langid, lines, merkle, neardup, packing, quality, toxicity
+from tripweave.llm import bpe, collocation, decontaminate, hostrules, htmltext, langid, lines, merkle, neardup, packing, quality, repeats, toxicity
 from tripweave.llm import oracles as sql
 from tripweave.llm.sampling import held_out
 from tripweave.sources.storage import stage
@@ -127,3 +127,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(sql.COLLOCATIONS)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+@register(sql.REPEATS)
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
