@@ -24,7 +24,7 @@ never by what is left.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from hashlib import md5
 
 import numpy as np
@@ -245,26 +245,34 @@ def _part(left: Column, right: Column) -> Column:
     return F.md5(F.concat(F.concat_ws(",", left, right, F.lit("")).cast("binary"), shared))
 
 
-def settle(rows: DataFrame, length: int, gram: int, bucket: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
-    """Buckets small enough for one task, covers of windows that are shared as a whole, and all staged tables behind both."""
-    small, whole, staged = [], [], []
-    rows = rows.withColumns({"l": F.lit(0), "r": F.lit(gram), "bucket": F.col("gram").cast("string")}).drop("gram")
+def settle(rows: DataFrame, solve: Callable[[pa.Table], pa.Table], schema: str, length: int, gram: int, bucket: int) -> DataFrame:
+    """``solve`` for every bucket small enough for one task, and the windows that members of a larger one share as a whole.
+
+    Each round is written before the next, so the plan stays as small however many rounds there are.
+    """
+    found = []
+    rows = stage(rows.withColumns({"l": F.lit(0), "r": F.lit(gram), "bucket": F.col("gram").cast("string")}).drop("gram"), "buckets")
     while True:
-        rows = stage(rows, "buckets")
-        sizes = stage(rows.groupBy("bucket").agg(F.countDistinct("c1", "c2").alias("members")).filter("members > 1"), "bucket-sizes")
-        staged += [rows, sizes]
-        small.append(lookup(rows, sizes.filter(F.col("members") <= bucket), ["bucket"], "members").drop("members"))
-        large = sizes.filter(F.col("members") > bucket)
-        if large.isEmpty():
-            return small, whole, staged
-        rows = lookup(rows, large, ["bucket"], "members").drop("members")
-        done = F.col("l") + F.col("r") >= length
-        whole.append(rows.filter(done).select("c1", "c2", (F.col("off") - F.col("l")).alias("lo"), (F.col("off") + F.col("r")).alias("hi")))
+        sizes = stage(rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "bucket-sizes")
+        met = stage(lookup(rows, sizes, ["bucket"], "members"), "bucket-members")
+        unstage(rows, sizes)
+        large = met.filter(F.col("members") > bucket).drop("members")
         missing = length - F.col("l") - F.col("r")
+        solved = met.filter(F.col("members") <= bucket).drop("members").groupBy("bucket").applyInArrow(solve, schema)
+        shared = large.filter(missing <= 0).select(F.col("bucket").alias("repeat"), "c1", "c2", (F.col("off") - F.col("l")).alias("lo"), (F.col("off") + F.col("r")).alias("hi"))
+        found.append(stage(solved.union(shared.select(*solved.columns)), "bucket-repeats"))
+        if large.isEmpty():
+            unstage(met)
+            break
         half = F.ceil(missing / 2).cast("int")
-        left = rows.filter(~done).withColumn("l", F.col("l") + half).filter("off >= l")
-        right = rows.filter(~done).withColumn("r", F.col("r") + missing - half + 1).filter("off + r <= length(body)")
-        rows = left.unionByName(right).withColumn("bucket", _part(F.col("l"), F.col("r")))
+        left = large.filter(missing > 0).withColumn("l", F.col("l") + half).filter("off >= l")
+        right = large.filter(missing > 0).withColumn("r", F.col("r") + missing - half + 1).filter("off + r <= length(body)")
+        rows = stage(left.unionByName(right).withColumn("bucket", _part(F.col("l"), F.col("r"))), "buckets")
+        unstage(met)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
@@ -274,19 +282,15 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int
     contexts = stage(contexts, "context-counts")
     mixed = stage(contexts.groupBy("gram").agg(F.count("*").alias("members"), F.min("n").alias("least")).filter("members > 1 and least = 1"), "mixed-anchors")
     edges = lookup(contexts, mixed.drop("least"), ["gram"], "members")
-    small, whole, staged = settle(with_bodies(edges, docs), length, gram, bucket)
-    found = contexts.filter("n > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("width").alias("hi"))
-    for rows in small:
-        found = found.union(rows.groupBy("bucket").applyInArrow(lambda t: cover_bucket(t, length), _COVER))
-    for rows in whole:
-        found = found.union(rows)
+    parts = settle(with_bodies(edges, docs), lambda t: cover_bucket(t, length), _COVER, length, gram, bucket)
     # every stretch of a context holds its anchor string, so their union is one stretch
+    found = contexts.filter("n > 1").select("c1", "c2", F.lit(0).alias("lo"), F.col("width").alias("hi")).union(parts)
     found = found.groupBy("c1", "c2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     found = stage(found.join(contexts.select("c1", "c2", "n").hint("merge"), ["c1", "c2"]), "covers")
     span = F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + (F.col("reps") - 1) * F.col("step") + F.col("hi")).alias("hi"))
     out = lookup(here, found, ["c1", "c2"], "n").groupBy("k1", "k2").agg(F.collect_list(span).alias("spans"))
     out = stage(out, "repeated-spans")
-    unstage(here, contexts, mixed, found, *staged)
+    unstage(here, contexts, mixed, parts, found)
     return out
 
 
@@ -297,14 +301,10 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
     docs = _keyed(docs)
     here = repeated_places(docs, length, gram)
     contexts = here.groupBy("gram", "c1", "c2", "width", "off").agg(F.sum("reps").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("place"))
-    small, whole, _ = settle(with_bodies(contexts, docs), length, gram, bucket)
-    found = contexts.filter("n > 1").select(F.md5(F.concat_ws(",", "c1", "c2")).alias("repeat"), "c1", "c2", F.lit(0).alias("lo"), F.col("width").alias("hi"))
-    for rows in small:
-        found = found.union(rows.groupBy("bucket").applyInArrow(lambda t: group_bucket(t, length), "repeat string, " + _COVER))
-    for rows in whole:
-        found = found.union(rows.select(F.md5(F.concat_ws(",", "c1", "c2", "lo")).alias("repeat"), "c1", "c2", "lo", "hi"))
+    parts = settle(with_bodies(contexts, docs), lambda t: group_bucket(t, length), "repeat string, " + _COVER, length, gram, bucket)
+    same = contexts.filter("n > 1").select(F.md5(F.concat_ws(",", "c1", "c2")).alias("repeat"), "c1", "c2", F.lit(0).alias("lo"), F.col("width").alias("hi"))
     at = here.select("k1", "k2", "c1", "c2", F.explode(F.expr("transform(sequence(0, reps - 1), i -> start + i * step)")).alias("start"))
-    rows = at.join(found.distinct().hint("merge"), ["c1", "c2"]).join(docs.select("k1", "k2", "doc_id").hint("merge"), ["k1", "k2"])
+    rows = at.join(same.union(parts).distinct().hint("merge"), ["c1", "c2"]).join(docs.select("k1", "k2", "doc_id").hint("merge"), ["k1", "k2"])
     return rows.select("repeat", "doc_id", (F.col("start") + F.col("lo")).alias("start"), (F.col("hi") - F.col("lo")).alias("n_bytes")).distinct()
 
 
