@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    CFG, TZ_REGIONS, ZONES, chain, corridor_dist, enriched, events, haversine, pings, plain, points,
+    CFG, PINGS_SQL, TZ_REGIONS, ZONES, chain, corridor_dist, enriched, events, haversine, pings, plain, points,
     rnd, trip_points, ts, waypoint_in,
 )
 from catalog.registry import register
@@ -15,6 +15,7 @@ from tripweave.functions import geo, modes, timing
 from tripweave.operators import classify as C, segment as S, sequence, zones as Z
 from tripweave.operators.analytics import on_trips
 from tripweave.operators.features import point_features
+from tripweave.operators.long_trips import point_features_in_shards, polyline_vertices_in_shards, segment_in_shards
 
 _ENT = '"user", device'
 _WT = f"PARTITION BY {_ENT}, commute_id ORDER BY tst, record_id"
@@ -465,3 +466,60 @@ def points_in_corridors_j4(spark, sf):
     return plain(hits.select("record_id", "zone", "mode", "zone_distance_m", "confidence"))
 
 
+
+
+# ------------------------------------------------------------- one trip of three months
+
+# every ping on the way, days three days apart, with one point at home before and one at work after all others
+_WAY = "CASE WHEN lat IN (40.75e0, 40.85e0) THEN 40.8003e0 ELSE lat END"
+_STRETCH = "({floor} * 3 * 86400 + tst % 86400)"
+_LONG_SPARK = f"""
+SELECT record_id, 'u' AS user, 'd' AS device, {_STRETCH.format(floor="(tst div 86400)")} AS tst, {_WAY} AS lat, -73.98e0 AS lon FROM _long_pings
+UNION ALL SELECT -1L, 'u', 'd', {_STRETCH.format(floor="(min(tst) div 86400)").replace("tst %", "min(tst) %")} - 60, 40.75e0, -74.0e0 FROM _long_pings
+UNION ALL SELECT -2L, 'u', 'd', {_STRETCH.format(floor="(max(tst) div 86400)").replace("tst %", "max(tst) %")} + 60, 40.85e0, -73.95e0 FROM _long_pings
+"""
+_LONG_SQL = (
+    _LONG_SPARK.replace("_long_pings", f"({PINGS_SQL})").replace(" div ", " // ").replace("AS user", 'AS "user"').replace("-1L", "-1").replace("-2L", "-2")
+)
+
+
+def _long_trip(spark, sf):
+    pings(spark, sf).createOrReplaceTempView("_long_pings")
+    return sequence.enrich_and_detect(spark.sql(_LONG_SPARK), CFG)
+
+
+@register("segment_long_trip_w7", chain("segmented", _SEG_OUT, source=_LONG_SQL))
+def segment_long_trip_w7(spark, sf):
+    pts = segment_in_shards(_long_trip(spark, sf), cfg=CFG, shard_seconds=7200)
+    return on_trips(pts).select("record_id", "commute_id", "transport_mode", "segment_id")
+
+
+@register("segment_long_trip_zones_w7", chain("segmented", _SEG_OUT, zones=ZONES, keep_boundaries=True, source=_LONG_SQL))
+def segment_long_trip_zones_w7(spark, sf):
+    cfg = CFG.with_(keep_forced_boundaries=True)
+    pts = segment_in_shards(_long_trip(spark, sf), C.build_ensemble(ZONES, cfg), cfg, shard_seconds=900)
+    return on_trips(pts).select("record_id", "commute_id", "transport_mode", "segment_id")
+
+
+@register(
+    "point_features_long_trip_w9",
+    chain("segmented", f"SELECT record_id, {FEATURE_OUT_SQL} FROM feats", source=_LONG_SQL, feats=_FEATURES_SQL),
+)
+def point_features_long_trip_w9(spark, sf):
+    feats = point_features_in_shards(on_trips(_long_trip(spark, sf)), shard_seconds=3600)
+    return plain(feats.select("record_id", *FEATURE_NAMES))
+
+
+@register(
+    "polyline_long_trip_w13",
+    chain(
+        "segmented",
+        f"SELECT commute_id, segment_id, transport_mode, vertex, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY {_ENT}, commute_id, segment_id "
+        f"ORDER BY tst, record_id) AS vertex, count(*) OVER (PARTITION BY {_ENT}, commute_id, segment_id) AS of_line FROM segmented) WHERE of_line > 1",
+        source=_LONG_SQL,
+    ),
+)
+def polyline_long_trip_w13(spark, sf):
+    pts = segment_in_shards(_long_trip(spark, sf), cfg=CFG, shard_seconds=7200)
+    lines = polyline_vertices_in_shards(pts, shard_seconds=7200)
+    return lines.select("commute_id", "segment_id", "transport_mode", F.col("vertex").cast("bigint").alias("vertex"), "lat", "lon")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tripweave.config import ENTITY, MODES
 from tripweave.functions.numeric import stable_round
 from tripweave.functions.timing import day_name, departure_decimal, display_time, minutes_between
-from tripweave.functions.windows import ordered
+from tripweave.functions.windows import ORDER, ordered
 from tripweave.operators.labels import latest_labels
 
 def _span() -> Column:
@@ -310,12 +310,11 @@ def weekly_report(trips: DataFrame, segs: DataFrame, as_of: str, entity: Sequenc
 
 
 def segment_boundaries(pts: DataFrame, entity: Sequence[str] = ENTITY) -> DataFrame:
-    """Time of every point whose segment differs from the previous point's."""
-    w = ordered([*entity, "commute_id"])
-    rows = on_trips(pts).withColumn("_before", F.lag("segment_id").over(w))
-    return rows.filter(F.col("segment_id") != F.col("_before")).select(
-        *entity, "commute_id", "segment_id", F.col("timestamp").alias("boundary_time")
-    )
+    """Time of the first point of every segment but the trip's first; ids rise along a trip, so no point needs its neighbour."""
+    track = [*entity, "commute_id"]
+    heads = on_trips(pts).groupBy(*track, "segment_id").agg(F.min(F.struct(*ORDER, "timestamp")).alias("_head"))
+    heads = heads.withColumn("_before", F.lag("segment_id").over(Window.partitionBy(*track).orderBy("segment_id")))
+    return heads.filter("_before is not null").select(*track, "segment_id", F.col("_head.timestamp").alias("boundary_time"))
 
 
 def polyline_vertices(pts: DataFrame, entity: Sequence[str] = ENTITY) -> DataFrame:

@@ -44,6 +44,15 @@ def stop_duration(pts: DataFrame, by: Sequence[str], stopped: str = "is_stopped"
 def point_features(pts: DataFrame, cfg: TripConfig = TripConfig(), entity: Sequence[str] = ENTITY) -> DataFrame:
     """Motion, rolling, temporal and stop features of every point, per trip."""
     pts, by = track_keys(pts, cfg, entity)
+    return stop_duration(rolling_features(pts, by), by).drop("_lane")
+
+
+#: Rows on either side that ``rolling_features`` looks at.
+FEATURE_REACH = 7
+
+
+def rolling_features(pts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All but the stop's duration: what a few neighbouring rows decide."""
     w = ordered(by)
     pts = pts.withColumn("_p", F.lag(F.struct("lat", "lon", "speed_kmh")).over(w))
     gain = F.when(F.col("time_delta_s") > 0, (F.col("speed_kmh") - F.col("_p.speed_kmh")) / F.col("time_delta_s"))
@@ -67,7 +76,7 @@ def point_features(pts: DataFrame, cfg: TripConfig = TripConfig(), entity: Seque
     )
     hour_sin, hour_cos = cyclical_hour("timestamp")
     cv = F.when(F.col("speed_mean_w10") > 0, F.col("speed_std_w10") / F.col("speed_mean_w10")).otherwise(0.0)
-    pts = pts.withColumns(
+    return pts.withColumns(
         {
             "speed_cv_w10": cv,
             "hour": F.hour("timestamp"),
@@ -78,7 +87,6 @@ def point_features(pts: DataFrame, cfg: TripConfig = TripConfig(), entity: Seque
             "is_stopped": (F.col("speed_kmh") < 1.0).cast("int"),
         }
     )
-    return stop_duration(pts, by).drop("_lane")
 
 
 def training_set(features: DataFrame, label_col: str = "transport_mode") -> DataFrame:

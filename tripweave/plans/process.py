@@ -12,6 +12,7 @@ from tripweave.config import ENTITY, TripConfig, Zones
 from tripweave.functions.timing import day_bounds_utc
 from tripweave.operators.classify import Ensemble, build_ensemble
 from tripweave.operators.labels import apply_corrections, migrate_labels
+from tripweave.operators.long_trips import segment_staged
 from tripweave.operators.segment import segment
 from tripweave.operators.sequence import enrich_and_detect, locate
 from tripweave.sources.points import points_table, replace_rows, settle_buckets, stored_dates
@@ -60,6 +61,14 @@ def process(
     return apply_corrections(pts, labels, entity)
 
 
+def process_staged(
+    pts: DataFrame, labels: DataFrame | None = None, zones: Zones = Zones(), cfg: TripConfig = TripConfig(), tz_regions=None,
+) -> tuple[DataFrame, DataFrame]:
+    """``process`` with the trip points written once, so that trips of days or months are cut in time shards; also that table, to be unstaged."""
+    trips = stage(enrich_and_detect(drop_malformed(keep_locations(pts)), cfg, tz_regions), "trips")
+    return apply_corrections(segment_staged(trips, build_ensemble(zones, cfg), cfg), labels), trips
+
+
 @dataclass(frozen=True)
 class Filters:
     since: str | None = None
@@ -140,13 +149,15 @@ def rebuild_points(
     dates = _concerned(spark, out, fresh, filters, clean)
     summary = {"dry_run": False, "filters": filters.given(), "total_records": 0, "commutes_found": 0, "dates": []}
     if not dates:
+        unstage(points)
         return {**summary, "labels": labels}
     buckets = settle_buckets(spark, out, buckets)
     replaced = in_selection(filters, cfg)
     if not (clean and (filters.since or filters.until)):
         replaced &= F.col("local_date").isin([datetime.date.fromisoformat(d) for d in fresh])
-    replace_rows(spark, process(points, labels, zones, cfg, tz_regions), keys, replaced, dates, out, buckets)
-    unstage(points)
+    done, trips = process_staged(points, labels, zones, cfg, tz_regions)
+    replace_rows(spark, done, keys, replaced, dates, out, buckets)
+    unstage(points, trips)
     if not fresh:
         return {**summary, "labels": labels}
     stored = points_table(spark, out).filter(in_selection(filters, cfg))
