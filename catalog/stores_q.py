@@ -16,7 +16,7 @@ from catalog.registry import register
 from tripweave.operators import analytics as A
 from tripweave.plans import process as P
 from tripweave.plans.incremental import refresh
-from tripweave.sources import checksums, points as store, raw
+from tripweave.sources import checksums, points as store, raw, typed
 from tripweave.sources.storage import scratch_path
 from tripweave.streaming import ingest
 
@@ -332,6 +332,55 @@ def rebuild_one_user_p2(spark, sf):
 _WHOLE = chain("segmented", _STORED, source=LOCATED_SQL, allp=_ALL)
 
 
+def _typed_table(spark, sf) -> str:
+    path = scratch_path(spark, "typed")
+    typed.write_typed(messages(spark, sf), path)
+    return path
+
+
+_TYPED_OUT = f"record_id, {_E}, {rnd('lat', 6)} AS lat, tst, CAST(acc AS BIGINT) AS acc, msg_type, CAST(CAST(to_timestamp(tst) AT TIME ZONE 'UTC' AS DATE) AS VARCHAR) AS gps_date"
+
+
+@register("typed_messages_s3", _MSG + f"SELECT {_TYPED_OUT} FROM messages")
+def typed_messages_s3(spark, sf):
+    rows = typed.typed_table(spark, _typed_table(spark, sf))
+    return plain(rows.select("record_id", "user", "device", "lat", "tst", "acc", "msg_type", "gps_date"), 6)
+
+
+@register("typed_day_range_f3", _MSG + f"SELECT record_id, tst FROM messages WHERE {_RANGE}")
+def typed_day_range_f3(spark, sf):
+    table = typed.typed_table(spark, _typed_table(spark, sf))
+    return P.local_day_range(table, "America/New_York", "2024-01-05", "2024-01-20").select("record_id", "tst")
+
+
+@register("process_typed_p1", chain("segmented", "SELECT record_id, commute_id, transport_mode, segment_id FROM allp", source=LOCATED_SQL, allp=_ALL))
+def process_typed_p1(spark, sf):
+    table = typed.typed_table(spark, _typed_table(spark, sf))
+    pts = P.process(P.selected_points(table, P.Filters(), CFG), cfg=CFG)
+    return pts.select("record_id", "commute_id", "transport_mode", "segment_id")
+
+
+@register("rebuild_typed_p2", chain("segmented", _STORED, source=_RANGE_LOCATED, allp=_ALL))
+def rebuild_typed_p2(spark, sf):
+    """A rebuild of two weeks that reads their partitions only."""
+    out = scratch_path(spark, "points")
+    table = typed.typed_table(spark, _typed_table(spark, sf))
+    P.rebuild(spark, table, out, CFG, P.Filters(since="2024-01-05", until="2024-01-20"), clean=True)
+    return plain(store.points_table(spark, out).select(*_STORED_COLS))
+
+
+@register("typed_ingest_i1", _MSG + f"SELECT {_TYPED_OUT} FROM messages")
+def typed_ingest_i1(spark, sf):
+    """Two batches by the stream, the later one with earlier and later times alike."""
+    inbox, out, check = scratch_path(spark, "messages"), scratch_path(spark, "typed"), scratch_path(spark, "stream")
+    rows = messages(spark, sf)
+    for n in (0, 1):
+        raw.write_records(rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == n), inbox)
+        typed.start_typed_ingest(spark, inbox, out, check, available_now=True).awaitTermination()
+    table = typed.typed_table(spark, out)
+    return plain(table.select("record_id", "user", "device", "lat", "tst", "acc", "msg_type", "gps_date"), 6)
+
+
 @register("rebuild_clean_user_p2", _WHOLE)
 def rebuild_clean_user_p2(spark, sf):
     """A clean rebuild narrowed to a user takes away and gives back that user's rows only."""

@@ -18,6 +18,7 @@ from tripweave.operators.sequence import enrich_and_detect, locate
 from tripweave.sources.points import points_table, replace_rows, settle_buckets, stored_dates
 from tripweave.sources.raw import from_jsonl, parse_payload, read_raw_jsonl, read_raw_records
 from tripweave.sources.storage import stage, unstage
+from tripweave.sources.typed import date_of
 
 REQUIRED = ("lat", "lon", "tst")
 
@@ -34,12 +35,18 @@ def drop_malformed(pts: DataFrame) -> DataFrame:
 def local_day_range(pts: DataFrame, tz: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """Points whose GPS time falls on local days ``since``..``until``, both included.
 
-    The bounds are constants, so the comparison with ``tst`` reaches the scan.
+    The bounds are constants. Of a typed message table they select partitions and row groups; where ``tst`` is parsed from
+    a payload, every row is read first.
     """
+    dated = "gps_date" in pts.columns
     if since:
-        pts = pts.filter(F.col("tst") >= day_bounds_utc(since, tz))
+        low = day_bounds_utc(since, tz)
+        pts = pts.filter(F.col("tst") >= low)
+        pts = pts.filter(F.col("gps_date") >= date_of(low)) if dated else pts
     if until:
-        pts = pts.filter(F.col("tst") <= day_bounds_utc(until, tz, end=True))
+        high = day_bounds_utc(until, tz, end=True)
+        pts = pts.filter(F.col("tst") <= high)
+        pts = pts.filter(F.col("gps_date") <= date_of(high)) if dated else pts
     return pts
 
 
@@ -82,10 +89,12 @@ class Filters:
 
 
 def selected_points(raw: DataFrame, filters: Filters, cfg: TripConfig) -> DataFrame:
-    """Parsed points of the message table under the rebuild filters."""
+    """Located points of the message table, or of the typed one, under the rebuild filters."""
     records = read_raw_records(raw, filters.user, filters.device, filters.msg_type)
-    located = drop_malformed(parse_payload(records))
-    return local_day_range(located, cfg.default_tz, filters.since, filters.until)
+    located = drop_malformed(records if "gps_date" in raw.columns else parse_payload(records))
+    located = local_day_range(located, cfg.default_tz, filters.since, filters.until)
+    # of the typed table only the fields go on; the text stays where it is
+    return located.drop("gps_date", "batch", "payload") if "gps_date" in raw.columns else located
 
 
 def in_selection(filters: Filters, cfg: TripConfig) -> Column:
