@@ -16,7 +16,7 @@ from catalog.registry import register
 from tripweave.operators import analytics as A
 from tripweave.plans import process as P
 from tripweave.plans.incremental import refresh
-from tripweave.sources import checksums, points as store, raw, typed
+from tripweave.sources import checksums, points as store, raw, snapshots, typed
 from tripweave.sources.storage import scratch_path
 from tripweave.streaming import ingest
 
@@ -103,6 +103,9 @@ def _stored_points(spark, sf) -> str:
     return path
 
 
+_WHOLE = chain("segmented", _STORED, source=LOCATED_SQL, allp=_ALL)
+
+
 @register("write_points_s5", chain("segmented", _STORED, allp=_ALL))
 def write_points_s5(spark, sf):
     """Written twice: the second run replaces the days instead of adding to them."""
@@ -203,6 +206,19 @@ def verify_checksums_s15(spark, sf):
     return checksums.checksum_totals(checksums.verify_checksums(spark, path, altered))
 
 
+@register("points_version_s6", _WHOLE)
+def points_version_s6(spark, sf):
+    """The state before a rebuild of one user without messages, read after it; that rebuild took a user's rows away."""
+    out = scratch_path(spark, "points")
+    table = raw.raw_table(spark, _message_table(spark, sf))
+    P.rebuild(spark, table, out, CFG, buckets=2)
+    span = {"since": "2023-12-01", "until": "2024-03-01"}
+    P.rebuild(spark, table.filter("user <> 'u3'"), out, CFG, P.Filters(user="u3", **span), clean=True)
+    first = snapshots.versions(spark, out)[0]
+    assert store.points_table(spark, out).filter("user = 'u3'").isEmpty()
+    return plain(store.points_table(spark, out, version=first).select(*_STORED_COLS))
+
+
 @register("clean_range_s16", chain("trips", "SELECT CAST(local_date AS VARCHAR) AS local_date, count(*) AS n FROM trips WHERE local_date NOT BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' GROUP BY 1"))
 def clean_range_s16(spark, sf):
     path = scratch_path(spark, "points")
@@ -329,9 +345,6 @@ def rebuild_one_user_p2(spark, sf):
     return plain(store.points_table(spark, out).select(*_STORED_COLS))
 
 
-_WHOLE = chain("segmented", _STORED, source=LOCATED_SQL, allp=_ALL)
-
-
 def _typed_table(spark, sf) -> str:
     path = scratch_path(spark, "typed")
     typed.write_typed(messages(spark, sf), path)

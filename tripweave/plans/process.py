@@ -153,8 +153,7 @@ def rebuild_points(
     """The writing half of ``rebuild``, for located points from any source."""
     # parsed once: the keys and the pipeline's two branches read this copy
     points = stage(points, "selected")
-    keys = locate(points, cfg, tz_regions).select(*ENTITY, "local_date").distinct()
-    fresh = sorted(str(r[0]) for r in keys.select("local_date").distinct().collect())
+    fresh = sorted(str(r[0]) for r in locate(points, cfg, tz_regions).select("local_date").distinct().collect())
     dates = _concerned(spark, out, fresh, filters, clean)
     summary = {"dry_run": False, "filters": filters.given(), "total_records": 0, "commutes_found": 0, "dates": []}
     if not dates:
@@ -165,7 +164,7 @@ def rebuild_points(
     if not (clean and (filters.since or filters.until)):
         replaced &= F.col("local_date").isin([datetime.date.fromisoformat(d) for d in fresh])
     done, trips = process_staged(points, labels, zones, cfg, tz_regions)
-    replace_rows(spark, done, keys, replaced, dates, out, buckets)
+    replace_rows(spark, done, replaced, dates, out, buckets)
     unstage(points, trips)
     if not fresh:
         return {**summary, "labels": labels}

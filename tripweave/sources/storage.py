@@ -81,3 +81,19 @@ def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
 def drop_partition(spark: SparkSession, path: str, column: str, value: str) -> None:
     fs, p = _fs_path(spark, f"{path}/{column}={value}")
     fs.delete(p, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no folder."""
+    fs, p = _fs_path(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    fs, p = _fs_path(spark, source)
+    return fs.rename(p, _fs_path(spark, target)[1])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_path(spark, path)
+    fs.delete(p, True)
