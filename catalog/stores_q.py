@@ -189,6 +189,19 @@ def checksums_s14(spark, sf):
     return digests.select(F.regexp_extract("file", _DAY, 1).alias("day"), "digest")
 
 
+@register(
+    "tree_digests_s14",
+    "SELECT CAST(d AS VARCHAR) AS day, CAST(strlen(t) AS BIGINT) AS length, "
+    "sha256(array_to_string(list_transform(range(0, strlen(t), 4), lambda i: sha256(substr(t, i + 1, 4))), '')) AS root "
+    "FROM (SELECT d, CAST(n AS VARCHAR) || '|' || CAST(s AS VARCHAR) || chr(10) AS t FROM "
+    "(SELECT CAST(ts AS DATE) AS d, count(*) AS n, sum(event_id) AS s FROM events GROUP BY 1))",
+)
+def tree_digests_s14(spark, sf):
+    """Ranges of four bytes, so that every file has several."""
+    digests = checksums.tree_digests(spark, _daily_lines(spark, sf), 4)
+    return digests.select(F.regexp_extract("file", _DAY, 1).alias("day"), "length", "root")
+
+
 @register(
     "verify_checksums_s15",
     "SELECT CASE WHEN d < DATE '2024-01-10' THEN 'FAIL' WHEN d > DATE '2024-01-25' THEN 'MISSING' ELSE 'OK' END AS status, count(*) AS files "
