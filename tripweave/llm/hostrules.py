@@ -113,13 +113,14 @@ def prior_strength(hosts: int, mean: float | None, small: float | None, spread:
 
 
 def apply_rules(docs: DataFrame, host: Column, reject: float = REJECT) -> DataFrame:
-    """Counts, ``base_failed``, the host's shrunk ``rate`` and ``kept`` of every document; the text goes."""
-    kept = [c for c in docs.columns if c not in ("rule_host", "base_failed", "rate", "kept")]
-    judged = stage(counted(docs.select(*kept, host.alias("rule_host"))).withColumn("base_failed", base_failed()), "judged")
+    """Counts, ``base_failed``, the host's shrunk ``rate`` and ``kept`` of every document; the text goes. These replace columns of their
+    names; all others stay, whatever they are called."""
+    kept = [c for c in docs.columns if c not in ("base_failed", "rate", "kept")]
+    host_name = tx.free_name("rule_host", docs.columns)
+    judged = stage(counted(docs.select(*kept, host.alias(host_name))).withColumn("base_failed", base_failed()), "judged")
     # written, so that its size decides how it is joined
-    hosts = stage(host_verdicts(judged, "rule_host", reject).select(F.col("host").alias("rated_host"), "rate", "host_ok"), "hosts")
-    return (
-        judged.join(hosts, judged["rule_host"] == hosts["rated_host"], "left")
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True)))
-        .drop("rated_host", "host_ok", "rule_host")
-    )
+    hosts = stage(host_verdicts(judged, host_name, reject).select("host", "rate", "host_ok"), "hosts")
+    j, h = judged.alias("j"), hosts.alias("h")
+    verdict = ~F.col("j.base_failed") & F.coalesce("h.host_ok", F.lit(True))
+    left = [F.col(f"j.`{c}`") for c in judged.columns if c != host_name]
+    return j.join(h, F.col(f"j.`{host_name}`") == F.col("h.host"), "left").select(*left, "h.rate", verdict.alias("kept"))

@@ -215,6 +215,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Model:
 def fit(stats: DataFrame, labels: DataFrame, held: Column, rows: int = TRAIN_ROWS) -> Model:
     """Model of up to ``rows`` labelled documents that are not held out; ``stats`` holds doc_id and STATISTICS."""
     sample = labelled_sample(labels, "quality", held, rows)
+    stats = stats.select("doc_id", *STATISTICS)  # other columns may have the names of the sample's
     got = stats.join(sample, stats["doc_id"] == sample["train_id"]).select(*STATISTICS, F.col("label").cast("double")).toPandas().to_numpy(float)
     got = got[np.lexsort(got.T)]  # the same order on every run
     return train(got[:, :-1], (got[:, -1] == 1).astype(float))

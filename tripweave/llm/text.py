@@ -17,6 +17,13 @@ _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
 
+def free_name(name: str, taken) -> str:
+    """A column name that is not taken yet."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     """Boolean table of 256 with the given inclusive ranges set."""
     table = np.zeros(256, bool)

@@ -296,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Language model over all documents; signs and weights from up to ``rows`` labelled documents that are not held out."""
     model = Model(language_model(letter_counts(docs)))
     sample = labelled_sample(labels, "toxic", held_out(4, 2), rows)
-    chosen = docs.join(sample, docs["doc_id"] == sample["train_id"]).select("text", (F.col("label") == 1).cast("int").alias("label"))
+    texts = docs.select("doc_id", "text")  # other columns may have the names of the sample's
+    chosen = texts.join(sample, texts["doc_id"] == sample["train_id"]).select("text", (F.col("label") == 1).cast("int").alias("label"))
     chosen = stage(chosen, "toxicity-sample")
     chance = model.chance
 
