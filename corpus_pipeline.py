@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripweave.llm import decontaminate, lines, neardup, toxicity
 from tripweave.llm import queries as q
+from tripweave.llm.text import free_name
 from tripweave.sources.storage import stage
 
 
@@ -18,8 +19,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of whole lines go; every document stays, n_chars follows the text."""
-    left = lines.dedup_lines(docs, removed="n_removed")
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).drop("n_removed")
+    count = free_name("n_removed", docs.columns)
+    left = lines.dedup_lines(docs, removed=count)
+    n_chars = F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).drop(count)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
