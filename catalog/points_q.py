@@ -16,6 +16,7 @@ from tripweave.operators import classify as C, segment as S, sequence, zones as
 from tripweave.operators.analytics import on_trips
 from tripweave.operators.features import point_features
 from tripweave.operators.long_trips import point_features_in_shards, polyline_vertices_in_shards, segment_in_shards
+from tripweave.operators.polygons import edges_of, polygons, resolve_polygon
 
 _ENT = '"user", device'
 _WT = f"PARTITION BY {_ENT}, commute_id ORDER BY tst, record_id"
@@ -523,3 +524,38 @@ def polyline_long_trip_w13(spark, sf):
     pts = segment_in_shards(_long_trip(spark, sf), cfg=CFG, shard_seconds=7200)
     lines = polyline_vertices_in_shards(pts, shard_seconds=7200)
     return lines.select("commute_id", "segment_id", "transport_mode", F.col("vertex").cast("bigint").alias("vertex"), "lat", "lon")
+
+
+# ------------------------------------------------------------- polygons
+
+# concave, with a hole, across the antimeridian, and one inside another
+_POLYGONS = (
+    ("Zone/Concave", (((10.3, 10.7), (10.3, 60.2), (50.9, 60.2), (20.4, 35.6), (50.9, 10.7)),)),
+    ("Zone/Holed", (((-60.2, -120.3), (-60.2, -40.8), (5.7, -40.8), (5.7, -120.3)), ((-40.1, -100.6), (-40.1, -60.9), (-10.3, -60.9), (-10.3, -100.6)))),
+    ("Zone/Dateline", (((-30.3, 150.6), (-30.3, -140.2), (30.8, -150.7), (10.1, 179.3), (30.8, 160.9)),)),
+    ("Zone/Small", (((20.2, 15.1), (20.2, 25.3), (30.4, 20.6)),)),
+)
+_GLOBE = "SELECT event_id AS record_id, (event_id * 7919 % 170000) / 1000.0e0 - 85 AS lat, (event_id * 104729 % 360000) / 1000.0e0 - 179.99951e0 AS lon FROM {events}"
+
+
+def _polygon_sql() -> str:
+    """Rays to the east over all edges of a polygon, in three turns; the smallest area wins."""
+    found = []
+    for name, rings in sorted(_POLYGONS, key=lambda z: edges_of(z[1])[1]):
+        edges, _ = edges_of(rings)
+        turns = []
+        for turn in (-360.0, 0.0, 360.0):
+            hits = [
+                f"CAST(({y1!r} > lat) <> ({y2!r} > lat) AND lon < {x1 + turn!r} + (lat - {y1!r}) * {x2 - x1!r} / nullif({y2 - y1!r}, 0) AS INT)"
+                for x1, y1, x2, y2 in edges.tolist()
+            ]
+            turns.append("(" + " + ".join(f"coalesce({h}, 0)" for h in hits) + ") % 2 = 1")
+        found.append(f"WHEN {' OR '.join(turns)} THEN '{name}'")
+    return f"SELECT record_id, CASE {' '.join(found)} ELSE 'UTC' END AS timezone FROM ({_GLOBE.format(events='events')})"
+
+
+@register("resolve_polygon_g8", _polygon_sql())
+def resolve_polygon_g8(spark, sf):
+    events(spark, sf).createOrReplaceTempView("_events_of_globe")
+    pts = spark.sql(_GLOBE.format(events="_events_of_globe"))
+    return resolve_polygon(pts, polygons(spark, _POLYGONS), "UTC").select("record_id", "timezone")

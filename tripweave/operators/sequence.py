@@ -17,6 +17,7 @@ from tripweave.config import ENTITY, TripConfig
 from tripweave.functions.geo import haversine_m, in_geofence, speed_kmh
 from tripweave.functions.timing import epoch_to_timestamp, to_local
 from tripweave.functions.windows import ORDER, next_non_null, ordered, running
+from tripweave.operators.polygons import resolve_polygon
 from tripweave.operators.zones import resolve_timezone
 
 _HOME, _WORK = 1, 2  # bits of the zone code
@@ -29,7 +30,8 @@ def _localised(pts: DataFrame, cfg: TripConfig, tz_regions, entity: Sequence[str
     pts = pts.withColumns(named) if named else pts
     if "timestamp" not in known:
         pts = pts.withColumn("timestamp", epoch_to_timestamp("tst"))
-    pts = resolve_timezone(pts, tz_regions, cfg.default_tz)
+    outlines = isinstance(tz_regions, DataFrame) and "rings" in tz_regions.columns
+    pts = (resolve_polygon if outlines else resolve_timezone)(pts, tz_regions, cfg.default_tz)
     pts = pts.withColumn("timestamp_local", to_local(epoch_to_timestamp("tst"), "timezone"))
     return pts.withColumn("local_date", F.col("timestamp_local").cast("date"))
 
