@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import same_as_duckdb
 from tripweave.llm import decontaminate as dc
@@ -42,6 +44,24 @@ def test_same_as_brute_force(spark):
     assert kept.count() == sum(not (n and 20 * n >= w) for w, n, _ in (brute(t, known) for _, t in docs))
 
 
+def test_shared_passage_of_many_items_is_met_once(spark):
+    """A passage in every item and in every document makes rows for documents and for items, not for pairs."""
+    head = " ".join(f"h{i}" for i in range(14))
+    items = spark.createDataFrame([(i, f"{head} own{i}") for i in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{head} d{i}") for i in range(200)], "doc_id long, text string")
+    started = time.monotonic()
+    rows = dc.contamination(docs, items).select("n_hit", "n_items", F.size("items").alias("size")).distinct().collect()
+    assert [tuple(r) for r in rows] == [(14, 3000, 3000)]
+    assert time.monotonic() - started < 30
+
+
+def test_very_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "word " * 400_000 + passage)], "doc_id long, text string")
+    row = dc.contamination(docs, spark.createDataFrame([(7, passage)], "item_id long, text string")).first()
+    assert (row.n_words, row.n_hit, row["items"]) == (400_020, 20, ["7"])
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dc.contamination(docs, items).first().n_hit == 0

@@ -2,17 +2,18 @@
 
 Words are runs of characters outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z became a-z. Every text keeps the smallest hash of
 K consecutive words in each window of W such hashes, so two texts that share K + W - 1 words keep a common fingerprint.
-Training fingerprints meet the benchmark's in one join; documents and items that meet are compared word by word, and each
-common fingerprint is extended to the whole run of equal words. A run counts from 13 words on, or from a whole item of fewer.
-Such short items have no full window: documents then keep every run of exactly that many words too.
+Training fingerprints meet the benchmark's distinct ones in one join. Where a fingerprint is common, each window of 13 document words
+that it stands for is looked up among the distinct windows of the benchmark; windows found extend to runs of hit words. Documents meet
+windows, never items: the items of a window are a list aside, and the list for each set of windows that documents hold is made once.
+An item of fewer words than 13 is one window of its own length, and its own fingerprint.
 
 Null or wordless texts have no words. Rows that repeat doc_id and text are one document. Items without an id or
-words are ignored; items with the same id count once. Both tables may be empty or have further columns, which are ignored.
+words are ignored; items with the same id count once. Both tables may be empty or have further columns, which are ignored. Texts are
+read whole at any length: a task holds one text and the rows of its own windows, which are linear in it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,10 @@ WINDOW = 13
 #: Words of a hashed gram, and grams of a winnowing window: K + W - 1 = WINDOW.
 K = 4
 W = WINDOW - K + 1
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-
-
-def words(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").encode().lower())
+#: Parts of a hot fingerprint or window; the benchmark's side of a join, which is small, is repeated as often.
+SALT = 16
+#: A second reading of the bytes, for the second half of a window's hash.
+_OTHER = np.array([(b * 167 + 13) % 256 for b in range(256)], np.uint8)
 
 
 def winnow(hashes: np.ndarray, bounds: np.ndarray, short: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,111 +86,125 @@ def word_count(text: str) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
 
 
-def item_fingerprints(items: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
-    """(item_key, fp) of the items, and the lengths below WINDOW among them, twelve at most."""
-    counted = items.withColumn("n", word_count("text"))
-    short = tuple(sorted(r.n for r in counted.filter(F.col("n").between(1, WINDOW - 1)).select("n").distinct().collect()))
-    out = fingerprints(counted.filter(F.col("n") >= WINDOW), ["item_key"], "text", ())
+def windows(texts: DataFrame, keys: list[str], lengths: tuple[int, ...], chosen: str | None = None) -> DataFrame:
+    """Rows (keys, at, n, h1, h2, fp) of the windows of n words from word ``at`` on, for each of the lengths.
+
+    The two hashes stand for the words, fp is the fingerprint that stands for the window. With ``chosen``, a column of fingerprints by
+    text, only windows whose fingerprint is among those of the texts handled together.
+    """
+    schema = T.StructType([*(texts.schema[k] for k in keys), *T.StructType.fromDDL("at long, n int, h1 long, h2 long, fp long")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in tx.pieces(batch, "text"):
+                data = tx.LOWER[data]
+                starts, ends, bounds = tx.spans(data, offsets, tx.ALNUM)
+                first, second = tx.hash_spans(data, starts, ends), tx.hash_spans(_OTHER[data], starts, ends)
+                wanted = np.unique(np.array(batch.column(chosen).slice(low, high - low).flatten(), np.int64)).view(np.uint64) if chosen else None
+                grams, owner = tx.runs(first, K), tx.row_of(bounds)
+                for length in lengths:
+                    at = np.flatnonzero(tx.starts_within(bounds, length, len(first)))
+                    if not len(at):
+                        continue
+                    fp = tx.sliding_min(grams, W)[at] if length == WINDOW else short_key(tx.runs(first, length)[at], length)
+                    if wanted is not None:
+                        among = np.isin(fp, wanted)
+                        at, fp = at[among], fp[among]
+                    rows = pa.array(owner[at])
+                    halves = [tx.runs(h, length)[at].view(np.int64) for h in (first, second)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch.column(k).slice(low, high - low).take(rows) for k in keys), pa.array(at - bounds[owner[at]]),
+                            pa.array(np.full(len(at), length, np.int32)), *map(pa.array, halves), pa.array(fp.view(np.int64)),
+                        ],
+                        schema.fieldNames(),
+                    )
+
+    return texts.select(*keys, "text", *([chosen] if chosen else [])).mapInArrow(run, schema)
+
+
+def item_windows(items: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
+    """(item, n, h1, h2, fp) of the items' windows, and the lengths below WINDOW among them, twelve at most."""
+    counted = items.withColumn("_n", word_count("text"))
+    short = tuple(sorted(r[0] for r in counted.filter(F.col("_n").between(1, WINDOW - 1)).select("_n").distinct().collect()))
+    out = windows(counted.filter(F.col("_n") >= WINDOW), ["item"], (WINDOW,))
     for length in short:
-        out = out.union(fingerprints(counted.filter(F.col("n") == length), ["item_key"], "text", (length,)))
-    return out.filter(~F.col("mark")).select("item_key", "fp").distinct(), short
-
-
-def extend(doc: list[bytes], items: list[list[bytes]]) -> tuple[int, list[int]]:
-    """Document words inside runs shared with any item, and the numbers of the items that have such runs."""
-    number: dict[bytes, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in item], np.uint64) for item in items]
-    strange = np.uint64(1 << 40)
-    text = np.array([number.get(w, strange) for w in doc], np.uint64)
-    hit, found = np.zeros(len(doc) + 1, np.int64), []
-    grams: dict[int, np.ndarray] = {}
-    for which, item in enumerate(coded):
-        need, k = min(WINDOW, len(item)), min(K, len(item))
-        if len(text) < need:
-            continue
-        if k not in grams:
-            grams[k] = tx.runs(text, k)
-        own = tx.runs(item, k)
-        kept = np.unique(tx.sliding_min(own, need - k + 1))
-        at = np.flatnonzero(np.isin(own, kept))  # fingerprints in the item, and where the document has them
-        order = np.argsort(own[at], kind="stable")
-        places = np.flatnonzero(np.isin(grams[k], kept))
-        first = np.searchsorted(own[at][order], grams[k][places], "left")
-        many = np.searchsorted(own[at][order], grams[k][places], "right") - first
-        diagonals = np.unique(np.repeat(places, many) - at[order[np.repeat(first, many) + _ranges(many)]])
-        seen = False
-        for part in np.array_split(diagonals, max(1, len(diagonals) * len(item) // 1_000_000)):
-            where = part[:, None] + np.arange(len(item))
-            inside = (where >= 0) & (where < len(text))
-            same = inside & (text[np.clip(where, 0, len(text) - 1)] == item)
-            edge = np.diff(np.pad(same.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            line, start = np.nonzero(edge == 1)
-            stop = np.nonzero(edge == -1)[1]
-            keep = stop - start >= need
-            np.add.at(hit, part[line[keep]] + start[keep], 1)
-            np.add.at(hit, part[line[keep]] + stop[keep], -1)
-            seen |= bool(keep.any())
-        if seen:
-            found.append(which)
-    return int((np.cumsum(hit[:-1]) > 0).sum()), found
-
-
-def _ranges(counts: np.ndarray) -> np.ndarray:
-    """0 .. n-1 for each count n, one after another."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+        out = out.union(windows(counted.filter(F.col("_n") == length), ["item"], (length,)))
+    return out.select("item", "n", "h1", "h2", "fp").distinct(), short
+
+
+def salted(frame: DataFrame) -> DataFrame:
+    """Every row once for each salt."""
+    return frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def n_covered(intervals: Column) -> Column:
+    """Places inside any of the (start, end) intervals."""
+    begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    step = lambda acc, x: F.struct(
+        (acc["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["at"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["end"]).alias("end")
+    )
+    return F.aggregate(F.array_sort(intervals), begin, step, lambda acc: acc["n"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_words, n_hit, items (sorted item ids as strings) for every document.
+    """doc_id, text_key, n_words, n_hit, n_items, items_sha256, items (sorted item ids as strings) for every document.
 
-    The item table is joined by Spark, which broadcasts it only if its written size is below the session's threshold.
+    items_sha256 is the hash of the comma-joined items. Tables of the benchmark are joined by Spark, which broadcasts them only if their
+    written size is below the session's threshold; otherwise they are repeated over salts, so no common fingerprint or window fills a task.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    items = stage(benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null").distinct().withColumn("item_key", F.xxhash64("item", "text")), "items")
-    item_fps, short = item_fingerprints(items)
-    item_fps = stage(item_fps, "item-fingerprints")
+    items = stage(benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null").distinct(), "items")
+    owned, short = item_windows(items)
+    owned = stage(owned, "item-windows")
+    marks = stage(salted(owned.select("fp").distinct()).withColumn("known", F.lit(True)), "item-fingerprints")
+    window = ["n", "h1", "h2"]
+    # the items of a window, and each different list of items once
+    lists = stage(owned.groupBy(*window).agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("list", F.xxhash64("items")), "window-lists")
+    listed = stage(salted(lists.select(*window, "list")), "windows")
+
     keys = ["doc_id", "text_key"]
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALT)).cast("int").alias("salt")
     met = (
         fingerprints(docs, keys, "text", short)
-        .join(item_fps, "fp", "left")
-        .filter("mark or item_key is not null")
+        .select("*", salt)
+        .join(marks, ["fp", "salt"], "left")
+        .filter("mark or known")
         .groupBy(*keys)
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.collect_set(F.when(~F.col("mark"), F.col("item_key"))).alias("candidates"),
-        )
+        .agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(~F.col("mark"), F.col("fp"))).alias("fps"))
     )
     met = stage(met, "met")
-    schema = T.StructType([*(met.schema[k] for k in keys), *T.StructType.fromDDL("n_hit long, items array<string>")])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits, items_of = [], []
-            for text, candidates in zip(batch.column("text"), batch.column("candidates"), strict=True):
-                candidates = candidates.as_py()
-                n, which = extend(words(text.as_py()), [words(c["text"]) for c in candidates])
-                hits.append(n)
-                items_of.append(sorted({candidates[i]["item"] for i in which}))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keys), pa.array(hits, pa.int64()), pa.array(items_of, pa.list_(pa.string()))], schema.fieldNames()
-            )
-
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
-    some = (
-        met.select(*keys, F.explode("candidates").alias("item_key"))
-        .join(items.withColumnRenamed("text", "item_text"), "item_key")
+    some = met.filter(F.size("fps") > 0).select(*keys, "fps")
+    texts = docs.join(some, same(docs, some)).select(docs["doc_id"], docs["text_key"], "text", "fps")
+    hits = (
+        windows(texts, keys, (WINDOW, *short), "fps")
+        .select(*keys, "at", *window, salt)
+        .join(listed, [*window, "salt"])
         .groupBy(*keys)
-        .agg(F.collect_list(F.struct("item", F.col("item_text").alias("text"))).alias("candidates"))
+        .agg(
+            n_covered(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("n_hit"),
+            F.sort_array(F.collect_set("list")).alias("lists"),
+        )
+        .withColumn("held", F.xxhash64("lists"))
+    )
+    hits = stage(hits, "hits")
+    # each different set of lists becomes one list of items, however many documents hold it
+    sets = hits.groupBy("held").agg(F.first("lists").alias("lists")).select("held", F.explode("lists").alias("list"))
+    sets = (
+        sets.join(lists.dropDuplicates(["list"]).select("list", F.explode("items").alias("item")), "list")
+        .groupBy("held")
+        .agg(F.sort_array(F.collect_set("item")).alias("items"))
+        .select("held", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items")
     )
-    joined = docs.join(some, same(docs, some)).select(docs["doc_id"], docs["text_key"], "text", "candidates")
-    verified = joined.mapInArrow(verify, schema).dropDuplicates(keys)
-    verified = stage(verified, "verified")
-    out = met.join(verified, same(met, verified), "left").select(
-        met["doc_id"], met["text_key"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    sets = stage(sets, "item-sets")
+    found = hits.select(*keys, "n_hit", "held").join(sets, "held")
+    zero = F.lit(0).cast("long")
+    out = met.join(found, same(met, found), "left").select(
+        met["doc_id"], met["text_key"], "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
-    unstage(items, item_fps)
+    unstage(items, owned, marks, lists, listed)
     return out
 
 
