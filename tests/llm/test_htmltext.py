@@ -1,7 +1,10 @@
 import html as entities
+import math
 import re
+import time
 
 import numpy as np
+import pytest
 
 from tripweave.llm import htmltext as ht
 from tripweave.llm.queries import op1_html_text
@@ -24,6 +27,61 @@ def test_whole_table(spark, sf_dir):
         assert r.n_chars == len(r.text)
 
 
+def test_the_curve_decides_without_class_words(spark, sf_dir, monkeypatch):
+    """No class word and no landmark known: ratio, smoothing and threshold still leave the advert beside the article out."""
+    monkeypatch.setattr(ht, "CHROME_WORDS", frozenset())
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    assert all(ht.main_text(p) == article(p) for p in pages)
+    right = sum(ht.main_text(re.sub("</?article>", "", p)) == article(p) for p in pages)
+    assert right >= 0.95 * len(pages)
+
+
+def test_curve_against_brute_force():
+    """Ratio, weight and Gaussian mean of the lines, term by term."""
+    page = "<nav>menu</nav><div>bare text</div><p>A paragraph of <b>some</b> words.<p><a href=x>link</a> and more</p><div class=ad>Buy</div><p>End."
+    parser = ht.Lines()
+    parser.feed(page)
+    parser.close()
+    lines = [(" ".join("".join(x.text).split()), x) for x in parser.lines]
+    lines = [(t, x) for t, x in lines if t]
+    # text, tags, text in links, weight
+    want = [("menu", 1, 0, 0.1), ("bare text", 1, 0, 0.5), ("A paragraph of some words.", 4, 0, 1), ("link and more", 3, 4, 1), ("Buy", 1, 0, 0.15 * 0.5), ("End.", 1, 0, 1)]
+    assert [t for t, _ in lines] == [t for t, *_ in want]
+    values = [w * math.log1p(max(0, len(t) - 2 * linked) / x.tags) for (t, x), (_, _, linked, w) in zip(lines, want, strict=True)]
+    assert np.allclose(ht.line_values(lines)[1:], values[1:])
+    bell = lambda d: math.exp(-0.5 * (d / ht.SIGMA) ** 2) if abs(d) <= 5 else 0.0
+    n = len(values)
+    curve = [sum(bell(i - j) * values[j] for j in range(n)) / sum(bell(i - j) for j in range(n)) for i in range(n)]
+    assert np.allclose(ht.smooth(np.array(values)), curve)
+
+
+def test_article_text_with_boilerplate_words_in_its_names():
+    long = "Words of the piece go on and on here, enough to be a paragraph. " * 4
+    items = "".join(f"<li><a href=/{i}>linked item {i}</a>" for i in range(3))
+    page = (
+        f'<body><nav><a href=/>m</a></nav><div class="ad-slot">Buy this now.</div><article><h1>T</h1><p>{long}<p class="note-side">A {long}</p>'
+        f'<div id="legal-analysis">B {long}</div><ul>{items}</ul><p>{long}</article><div class="site-footer">Made by us.</div>'
+    )
+    one = long.strip()
+    assert ht.main_text(page).split("\n") == ["T", one, f"A {one}", f"B {one}", *(f"linked item {i}" for i in range(3)), one]
+
+
+def test_only_boilerplate_and_hidden_text():
+    assert ht.main_text("<body><nav>a b c</nav><footer>All rights, and many more words of this kind.</footer>") == ""
+    assert ht.main_text("<body><p>seen</p><p hidden>unseen</p><div style='display: none'><p>unseen</p></div>") == "seen"
+
+
+@pytest.mark.parametrize("part", ["<b>x</i>", "<form><div>a", "<svg>a<div>b", "<a><b><div>x</a>", "<p><b>", "<i><b></i>x"])
+def test_broken_pages_take_linear_time(part):
+    def seconds(n):
+        started = time.process_time()
+        ht.main_text(part * n)
+        return time.process_time() - started
+
+    seconds(1000)
+    assert seconds(32_000) < 30 * max(seconds(4000), 0.02)
+
+
 def test_same_text_without_landmarks(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         assert ht.main_text(re.sub("</?article>", "", r.html)) == article(r.html)
