@@ -84,16 +84,16 @@ def export_labels_l3(spark, sf):
     return L.export_json(_log(spark, sf))
 
 
-_ORPHANS = f"SELECT live.* FROM live WHERE NOT EXISTS (SELECT 1 FROM commutes c WHERE c.\"user\" = live.\"user\" AND c.device = live.device AND c.commute_id = live.commute_id)"
+ORPHANS_SQL = f"SELECT live.* FROM live WHERE NOT EXISTS (SELECT 1 FROM commutes c WHERE c.\"user\" = live.\"user\" AND c.device = live.device AND c.commute_id = live.commute_id)"
 
 
-@register("orphaned_labels_j5", with_labels(_LIVE_OUT + "orphans", orphans=_ORPHANS))
+@register("orphaned_labels_j5", with_labels(_LIVE_OUT + "orphans", orphans=ORPHANS_SQL))
 def orphaned_labels_j5(spark, sf):
     pts = points(spark, sf)
     return plain(L.orphaned_labels(label_log(A.segments(pts)), A.commutes(pts)))
 
 
-_MOVES = f"""
+MOVES_SQL = f"""
 SELECT m."user", m.device, old_id, arg_min(new_id, shift) AS new_id FROM (
   SELECT o."user", o.device, o.commute_id AS old_id, s.shift,
          CAST(CAST(substr(o.commute_id, 1, 10) AS DATE) + s.shift AS VARCHAR) || substr(o.commute_id, 11) AS new_id
@@ -101,7 +101,7 @@ SELECT m."user", m.device, old_id, arg_min(new_id, shift) AS new_id FROM (
 JOIN commutes c ON c."user" = m."user" AND c.device = m.device AND c.commute_id = m.new_id GROUP BY ALL"""
 
 
-@register("migration_map_j6", with_labels("SELECT * FROM moves", orphans=_ORPHANS, moves=_MOVES))
+@register("migration_map_j6", with_labels("SELECT * FROM moves", orphans=ORPHANS_SQL, moves=MOVES_SQL))
 def migration_map_j6(spark, sf):
     pts = points(spark, sf)
     return L.migration_map(label_log(A.segments(pts)), A.commutes(pts))
@@ -112,7 +112,7 @@ def migration_map_j6(spark, sf):
     with_labels(
         f"SELECT l.\"user\", l.device, coalesce(m.new_id, l.commute_id) AS commute_id, segment_id, notes FROM log l "
         "LEFT JOIN moves m ON l.\"user\" = m.\"user\" AND l.device = m.device AND l.commute_id = m.old_id",
-        orphans=_ORPHANS, moves=_MOVES,
+        orphans=ORPHANS_SQL, moves=MOVES_SQL,
     ),
 )
 def migrate_labels_l4(spark, sf):

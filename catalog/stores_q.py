@@ -12,11 +12,12 @@ from catalog.base import (
     CFG, LOCATED_SQL, MESSAGES_SQL, chain, events, enriched, label_log, ledger, messages, pings, plain,
     points, rnd, trip_points, ts, with_labels,
 )
+from catalog.labels_q import MOVES_SQL, ORPHANS_SQL
 from catalog.registry import register
 from tripweave.operators import analytics as A
 from tripweave.plans import process as P
 from tripweave.plans.incremental import refresh
-from tripweave.sources import checksums, points as store, raw, snapshots, typed
+from tripweave.sources import checksums, label_store, points as store, raw, snapshots, typed
 from tripweave.sources.storage import scratch_path
 from tripweave.streaming import ingest
 
@@ -166,6 +167,26 @@ def raw_page_s12(spark, sf):
     return plain(page.select("id", "user", "device", "msg_type", "received_at"))
 
 
+_PAGE = _MSG + f"SELECT record_id AS id, {_E}, msg_type, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received_at FROM messages ORDER BY messages.received_at DESC, id DESC LIMIT 100 OFFSET "
+
+
+@register("raw_next_page_s12", _PAGE + "100")
+def raw_next_page_s12(spark, sf):
+    """The second page, from the last row of the first."""
+    rows = messages(spark, sf)
+    last = raw.raw_page(rows, limit=100).orderBy("received_at", "id").select("received_at", "id").first()
+    page = raw.raw_page(rows, limit=100, after=tuple(last))
+    return plain(page.select("id", "user", "device", "msg_type", "received_at"))
+
+
+@register("raw_far_page_s12", _PAGE + "(SELECT count(*) // 3 FROM messages)")
+def raw_far_page_s12(spark, sf):
+    """The page a third of the way into the table."""
+    rows = messages(spark, sf)
+    page = raw.raw_far_page(rows, 100, rows.count() // 3)
+    return plain(page.select("id", "user", "device", "msg_type", "received_at"))
+
+
 @register("raw_count_s13", _MSG + "SELECT count(*) AS count FROM messages WHERE received_at >= TIMESTAMP '2024-01-05' AND received_at <= TIMESTAMP '2024-01-20 23:59:59' AND \"user\" = 'u2'")
 def raw_count_s13(spark, sf):
     return raw.raw_count(messages(spark, sf), since="2024-01-05", until="2024-01-20", user="u2")
@@ -348,6 +369,24 @@ def rebuild_p2(spark, sf):
     return plain(store.points_table(spark, out).select(*_STORED_COLS))
 
 
+@register(
+    "rebuild_migrates_labels_p2",
+    with_labels(
+        f"SELECT l.\"user\", l.device, coalesce(m.new_id, l.commute_id) AS commute_id, segment_id, notes FROM log l "
+        "LEFT JOIN moves m ON l.\"user\" = m.\"user\" AND l.device = m.device AND l.commute_id = m.old_id",
+        source=LOCATED_SQL, orphans=ORPHANS_SQL, moves=MOVES_SQL,
+    ),
+)
+def rebuild_migrates_labels_p2(spark, sf):
+    """What a reader of the label store finds after a rebuild: labels of vanished trips under the neighbouring day's trip."""
+    out, kept = scratch_path(spark, "points"), scratch_path(spark, "labels")
+    table = raw.raw_table(spark, _message_table(spark, sf))
+    P.rebuild(spark, table, out, CFG, buckets=2)
+    label_store.put_labels(label_log(A.segments(store.points_table(spark, out))), kept)
+    P.rebuild(spark, table, out, CFG, P.Filters(user="u3"), label_store=kept)
+    return label_store.stored_labels(spark, kept).select("user", "device", "commute_id", "segment_id", "notes")
+
+
 @register("rebuild_one_user_p2", chain("segmented", _STORED, source=LOCATED_SQL, allp=_ALL))
 def rebuild_one_user_p2(spark, sf):
     """A full rebuild, then one narrowed to a user: nobody else's points may change."""

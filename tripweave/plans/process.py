@@ -15,6 +15,7 @@ from tripweave.operators.labels import apply_corrections, migrate_labels
 from tripweave.operators.long_trips import segment_staged
 from tripweave.operators.segment import segment
 from tripweave.operators.sequence import enrich_and_detect, locate
+from tripweave.sources.label_store import migrate_stored, stored_labels
 from tripweave.sources.points import points_table, replace_rows, settle_buckets, stored_dates
 from tripweave.sources.raw import from_jsonl, parse_payload, read_raw_jsonl, read_raw_records
 from tripweave.sources.storage import stage, unstage
@@ -133,9 +134,13 @@ def rebuild(
     clean: bool = False,
     dry_run: bool = False,
     buckets: int | None = None,
+    label_store: str | None = None,
 ) -> dict:
     """Rebuild derived points from the message table; returns a summary.
 
+    Labels are given as a frame, or as a label store: then those that must follow a trip to its new id are renamed in the store, after the
+    points are published. A job lost in between leaves old ids, which the next rebuild moves.
+
     Only rows of the filters' users and GPS times are replaced, and only on days that have new rows; ``clean`` also removes
     such rows of days that have none any more, once the new rows are written. Everything else stays. ``buckets`` is
     the store's own count unless given; another count rewrites the store.
@@ -143,14 +148,16 @@ def rebuild(
     points = selected_points(raw, filters, cfg)
     if dry_run:
         return {"dry_run": True, "filters": filters.given(), "clean": clean, "output": out, "total_records": points.count()}
-    return rebuild_points(spark, points, out, cfg, filters, labels, zones, tz_regions, clean, buckets)
+    return rebuild_points(spark, points, out, cfg, filters, labels, zones, tz_regions, clean, buckets, label_store)
 
 
 def rebuild_points(
     spark: SparkSession, points: DataFrame, out: str, cfg: TripConfig, filters: Filters = Filters(), labels: DataFrame | None = None,
-    zones: Zones = Zones(), tz_regions=None, clean: bool = False, buckets: int | None = None,
+    zones: Zones = Zones(), tz_regions=None, clean: bool = False, buckets: int | None = None, label_store: str | None = None,
 ) -> dict:
     """The writing half of ``rebuild``, for located points from any source."""
+    if label_store:
+        labels = stored_labels(spark, label_store)
     # parsed once: the keys and the pipeline's two branches read this copy
     points = stage(points, "selected")
     fresh = sorted(str(r[0]) for r in locate(points, cfg, tz_regions).select("local_date").distinct().collect())
@@ -178,6 +185,9 @@ def rebuild_points(
     )
     # trips found anywhere in the store count as existing: only true orphans move
     all_trips = points_table(spark, out).filter("commute_id is not null").select(*ENTITY, "commute_id").distinct()
+    if label_store:
+        migrate_stored(spark, label_store, all_trips)
+        return {**summary, "labels": stored_labels(spark, label_store)}
     return {**summary, "labels": None if labels is None else migrate_labels(labels, all_trips)}
 
 

@@ -134,10 +134,16 @@ def raw_page(
     user: str | None = None,
     device: str | None = None,
     order: str = "desc",
+    after: tuple[datetime.datetime | None, int] | None = None,
 ) -> DataFrame:
-    """One page of messages by received time, newest first unless ``order='asc'``."""
+    """One page of messages by received time, newest first unless ``order='asc'``.
+
+    ``after`` is the (received_at, id) of a page's last row: the page that follows it starts there, so its cost does not grow with its number.
+    """
     if not 1 <= limit <= 500:
         raise ValueError("limit must be between 1 and 500")
+    if after:
+        raw = raw.filter(_beyond(*after, order))
     for column, value in (("user", user), ("device", device)):
         if value:
             raw = raw.filter(F.col(column) == value)
@@ -145,6 +151,49 @@ def raw_page(
     return raw.orderBy(*keys).offset(offset).limit(limit)
 
 
+def _beyond(received_at: datetime.datetime | None, id_: int, order: str) -> Column:
+    """Rows after a cursor; without a received time they come first in ascending and last in descending order."""
+    time, asc = F.col("received_at"), order == "asc"
+    next_id = F.col("id") > id_ if asc else F.col("id") < id_
+    if received_at is None:
+        later = time.isNotNull() if asc else F.lit(False)
+        return later | (time.isNull() & next_id)
+    at = F.lit(received_at)
+    later = time > at if asc else (time < at) | time.isNull()
+    return later | ((time == at) & next_id)
+
+
+def raw_far_page(
+    raw: DataFrame, limit: int, offset: int, user: str | None = None, device: str | None = None, order: str = "desc"
+) -> DataFrame:
+    """The rows of ``raw_page`` at a far offset: counts by day, then by minute of the days it lies in, find the time range of the page, and only
+    the rows of those minutes are sorted. The driver sees a count per day, and per minute of the first and last day."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be between 1 and 500")
+    for column, value in (("user", user), ("device", device)):
+        if value:
+            raw = raw.filter(F.col(column) == value)
+    for unit in ("day", "minute"):
+        step = F.date_trunc(unit, "received_at")
+        counts = raw.groupBy(step.alias("step")).agg(F.count("*").alias("n"))
+        wanted, seen, skipped = [], 0, 0
+        for r in counts.orderBy(F.asc("step") if order == "asc" else F.desc("step")).collect():
+            if seen + r.n <= offset:
+                skipped = seen + r.n
+            elif seen < offset + limit:
+                wanted.append(r.step)
+            else:
+                break
+            seen += r.n
+        times = [t for t in wanted if t is not None]
+        inside = F.lit(False)
+        if times:
+            inside = F.col("received_at").between(F.lit(min(times)), F.lit(max(times)) + F.expr(f"INTERVAL 1 {unit}") - F.expr("INTERVAL 1 MICROSECOND"))
+        raw = raw.filter(inside | F.col("received_at").isNull() if None in wanted else inside)
+        offset -= skipped
+    return raw_page(raw, limit, offset, order=order)
+
+
 def raw_count(
     raw: DataFrame,
     since: str | None = None,
