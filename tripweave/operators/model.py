@@ -208,7 +208,7 @@ def train_from_labels(
     """Train from labelled trips and optionally save the model."""
     trips = log if commute_ids is None else log.filter(F.col("commute_id").isin(list(commute_ids)))
     if trips.isEmpty():
-        raise ValueError("No labeled data found" if commute_ids is None else "No labeled commutes match the given ids")
+        raise ValueError("the label log is empty" if commute_ids is None else "none of the given trips has labels")
     model = fit(labelled_training_set(pts, log, commute_ids, cfg), max_depth, test_fraction, cfg)
     if path:
         model.save(path)
