@@ -10,7 +10,7 @@ from catalog.registry import register
 from tripweave.config import MODES
 from tripweave.functions import modes
 from tripweave.operators import analytics as A, labels as L, model as M, review as R
-from tripweave.operators.features import point_features, training_set
+from tripweave.operators.features import FEATURE_COLUMNS, point_features, training_set
 from tripweave.sources.storage import scratch_path
 
 _E = '"user", device'
@@ -360,11 +360,6 @@ def _model(spark, sf):
     return pts, M.train_from_labels(pts, label_log(A.segments(pts)), cfg=CFG)
 
 
-@register("train_model_m3")
-def train_model_m3(spark, sf):
-    return M.metrics_frame(spark, _model(spark, sf)[1])
-
-
 @register(
     "metrics_m4",
     chain(
@@ -422,6 +417,85 @@ def class_weights_m3(spark, sf):
     return plain(spark.createDataFrame(sorted(weights.items()), "label string, weight double"), 4)
 
 
+# The tree in SQL: one step for each level, over all trip points; only training rows are counted. Children of node n are 2n and 2n + 1.
+_CLASSES = range(len(MODES))
+_DEPTH = 10
+_COLUMNS = [f"f{i}" for i in range(len(FEATURE_COLUMNS))]
+
+
+def _purity_sql(counts: list[str]) -> str:
+    weighted = [f"({n} * w{c})" for c, n in enumerate(counts)]
+    return f"(({' + '.join(f'{x} * {x}' for x in weighted)}) / ({' + '.join(weighted)}))"
+
+
+def _level_sql(k: int) -> str:
+    left, total = [f"l{c}" for c in _CLASSES], [f"t{c}" for c in _CLASSES]
+    right = [f"(t{c} - l{c})" for c in _CLASSES]
+    counts = ", ".join(f"count(*) FILTER (label = {c}) AS c{c}" for c in _CLASSES)
+    sums = ", ".join(f"sum(c{c}) OVER v AS l{c}, sum(c{c}) OVER (PARTITION BY node, feature) AS t{c}" for c in _CLASSES)
+    moved = " ".join(f"WHEN {i} THEN n.{f}" for i, f in enumerate(_COLUMNS))
+    return f"""
+h{k} AS MATERIALIZED (SELECT node, feature, value, {counts} FROM long JOIN n{k} USING (record_id) GROUP BY node, feature, value),
+b{k} AS MATERIALIZED (
+  SELECT *, {_purity_sql(left)} + {_purity_sql(right)} AS score, {_purity_sql(total)} AS before
+  FROM (SELECT node, feature, value, {sums}, lead(value) OVER v AS after FROM h{k} WINDOW v AS (PARTITION BY node, feature ORDER BY value)), weights
+  WHERE after IS NOT NULL AND {' + '.join(f'CAST(t{c} > 0 AS INT)' for c in _CLASSES)} > 1
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, feature, value) = 1),
+n{k + 1} AS MATERIALIZED (
+  SELECT n.* REPLACE (CASE WHEN b.node IS NULL THEN n.node WHEN CASE b.feature {moved} END <= floor((b.value + b.after) / 2.0) THEN 2 * n.node
+                      ELSE 2 * n.node + 1 END AS node) FROM n{k} n LEFT JOIN b{k} b ON n.node = b.node)"""
+
+
+_NAMES_SQL = " ".join(f"WHEN {c} THEN '{m}'" for c, m in enumerate(MODES))
+_WHOLE_SQL = ", ".join(f"CAST(round(1000 * {n}) AS BIGINT) AS {f}" for n, f in zip(FEATURE_COLUMNS, _COLUMNS, strict=True))
+_INDEX_SQL = " ".join(f"WHEN '{m}' THEN {c}" for c, m in enumerate(MODES))
+_WEIGHT_SQL = ", ".join(f"coalesce(CAST(sum(n) AS DOUBLE) / (count(*) * max(n) FILTER (label = {c})), 0) AS w{c}" for c in _CLASSES)
+_LEAF_SQL = ", ".join(f"count(*) FILTER (label = {c} AND is_test = false) * any_value(w{c}) AS p{c}" for c in _CLASSES)
+_CHOICE_SQL = " ".join(f"WHEN p{c} = greatest({', '.join(f'p{x}' for x in _CLASSES)}) THEN '{MODES[c]}'" for c in _CLASSES)
+
+
+def _tree_sql(body: str) -> str:
+    """``body`` over ``judged`` (trip points with their leaf's class weights p0.. and ``predicted``) and ``splits``."""
+    splits = " UNION ALL ".join(f"SELECT feature, score - before AS gain FROM b{k}" for k in range(_DEPTH))
+    inner = f"""
+WITH split AS MATERIALIZED ({_SPLIT_SQL.replace("SELECT label, draw %", "SELECT record_id, label, draw %").replace("(SELECT label, CAST(", "(SELECT record_id, label, CAST(")}),
+valued AS MATERIALIZED (SELECT record_id, transport_mode, {rnd('speed_kmh', 3)} AS speed_kmh, day_of_week, is_stopped,
+  {FEATURE_OUT_SQL} FROM feats),
+n0 AS MATERIALIZED (SELECT record_id, transport_mode, CASE s.label {_INDEX_SQL} END AS label, is_test, {_WHOLE_SQL}, CAST(1 AS BIGINT) AS node
+  FROM valued LEFT JOIN split s USING (record_id)),
+long AS MATERIALIZED (
+  {" UNION ALL ".join(f"SELECT record_id, {i} AS feature, {f} AS value FROM n0 WHERE is_test = false" for i, f in enumerate(_COLUMNS))}),
+weights AS MATERIALIZED (SELECT {_WEIGHT_SQL} FROM (SELECT label, count(*) AS n FROM n0 WHERE is_test = false GROUP BY label)),
+{",".join(_level_sql(k) for k in range(_DEPTH))},
+leaves AS MATERIALIZED (SELECT node, {_LEAF_SQL} FROM n{_DEPTH}, weights GROUP BY node),
+judged AS MATERIALIZED (SELECT record_id, transport_mode, CASE label {_NAMES_SQL} END AS label, is_test, leaves.*, CASE {_CHOICE_SQL} END AS predicted
+  FROM n{_DEPTH} JOIN leaves USING (node)),
+splits AS MATERIALIZED ({splits})
+{body}"""
+    return with_labels(f"SELECT * FROM ({inner})", feats=FEATURES_SQL)
+
+
+_FEATURE_VALUES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(FEATURE_COLUMNS))
+_METRICS_SQL = f"""
+SELECT 'overall' AS section, 'all' AS name, 'accuracy' AS metric, {rnd("avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END)", 4)} AS value FROM judged WHERE is_test
+UNION ALL SELECT 'overall', 'all', 'sample_count', CAST(count(*) AS DOUBLE) FROM judged WHERE label IS NOT NULL
+UNION ALL SELECT 'importance', name, 'importance', {rnd("coalesce(sum(gain), 0) / (SELECT sum(gain) FROM splits)", 4)}
+  FROM (VALUES {_FEATURE_VALUES}) v(feature, name) LEFT JOIN splits USING (feature) GROUP BY name
+UNION ALL SELECT 'per_class', mode, metric, value FROM (
+  UNPIVOT (SELECT mode, {rnd('CASE WHEN claimed > 0 THEN hits / claimed ELSE 0.0 END', 3)} AS "precision",
+    {rnd('CASE WHEN support > 0 THEN hits / support ELSE 0.0 END', 3)} AS recall,
+    {rnd('CASE WHEN hits > 0 THEN 2.0 * hits / (claimed + support) ELSE 0.0 END', 3)} AS f1, support
+    FROM (SELECT mode, CAST(count(*) FILTER (label = mode AND predicted = mode) AS DOUBLE) AS hits, CAST(count(*) FILTER (label = mode) AS DOUBLE) AS support,
+      CAST(count(*) FILTER (predicted = mode) AS DOUBLE) AS claimed
+      FROM (SELECT * FROM judged WHERE is_test), (VALUES {', '.join(f"('{m}')" for m in MODES)}) v(mode) GROUP BY mode) WHERE support > 0 OR claimed > 0)
+  ON "precision", recall, f1, support INTO NAME metric VALUE value)"""
+
+
+@register("train_model_m3", _tree_sql(_METRICS_SQL))
+def train_model_m3(spark, sf):
+    return M.metrics_frame(spark, _model(spark, sf)[1])
+
+
 @register("model_probabilities_m5", chain("segmented", "SELECT true AS sums_to_one, count(*) AS n FROM segmented"))
 def model_probabilities_m5(spark, sf):
     """Class probabilities of every trip point add up to 1."""
@@ -437,13 +511,24 @@ def untrained_model_m5(spark, sf):
     return rows.groupBy(F.forall("odds", lambda x: x == 0).alias("all_zero")).agg(F.count("*").alias("n"))
 
 
-@register("model_predict_m5")
+@register("model_predict_m5", _tree_sql("SELECT transport_mode, predicted, count(*) AS n FROM judged GROUP BY ALL"))
 def model_predict_m5(spark, sf):
     pts, model = _model(spark, sf)
     return model.predict(A.on_trips(pts)).groupBy("transport_mode", "predicted").agg(F.count("*").alias("n"))
 
 
-@register("model_ensemble_m5")
+_TOTAL_SQL = f"({' + '.join(f'p{c}' for c in _CLASSES)})"
+_VOTED_SQL = ", ".join(f"v_{m} + p{c} / {_TOTAL_SQL} * 2.0 AS s{c}" for c, m in enumerate(MODES))
+_VOTE_SQL = " ".join(f"WHEN s{c} = greatest({', '.join(f's{x}' for x in _CLASSES)}) THEN '{m}'" for c, m in enumerate(MODES))
+
+
+@register(
+    "model_ensemble_m5",
+    _tree_sql(
+        f"SELECT transport_mode, CASE {_VOTE_SQL} END AS mode, count(*) AS n FROM (SELECT judged.transport_mode, {_VOTED_SQL} "
+        "FROM judged JOIN classified USING (record_id)) GROUP BY ALL"
+    ),
+)
 def model_ensemble_m5(spark, sf):
     from tripweave.operators.classify import build_ensemble
 

@@ -17,7 +17,7 @@ SAMPLE = (
     "segment_variability_a6", "best_worst_hour_a11", "weekly_report_a17", "health_a19", "polyline_vertices_w13", "review_r2",
     "recent_patterns_r3", "apply_suggestions_r4", "upsert_labels_l1", "export_labels_l3", "rebuild_one_user_p2", "process_jsonl_p3",
     "segment_long_trip_zones_w7", "rebuild_typed_p2", "resolve_polygon_g8", "tree_digests_s14", "points_version_s6", "raw_next_page_s12", "raw_far_page_s12", "rebuild_migrates_labels_p2",
-    "ingest_i1", "prune_synced_s10", "mark_synced_s9", "evaluate_classifier_m7", "sql_cube_q1", "sql_subquery_cte_q1",
+    "ingest_i1", "prune_synced_s10", "mark_synced_s9", "evaluate_classifier_m7", "train_model_m3", "sql_cube_q1", "sql_subquery_cte_q1",
 )
 
 

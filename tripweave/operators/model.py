@@ -1,48 +1,43 @@
-"""Decision-tree mode model on MLlib, trained on human labels."""
+"""Decision-tree mode model, trained on human labels."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripweave.config import ENTITY, MODES, TripConfig
 from tripweave.functions.numeric import stable_round
 from tripweave.operators.classify import score_array
+from tripweave.operators.exact_tree import Tree, constant, grow, whole
 from tripweave.operators.features import FEATURE_COLUMNS, point_features, training_set
 from tripweave.operators.labels import apply_corrections, labelled_points, restrict_to_labelled
-from tripweave.sources.storage import ensure_checkpoint_dir
+from tripweave.sources.storage import stage, unstage
 
-MAX_DEPTH = 30  # MLlib's ceiling
+MAX_DEPTH = 30  # the driver holds the tree, at most 2 ** (depth + 1) nodes
 
 
 def _mode_index(column: str) -> Column:
-    pairs = [x for i, m in enumerate(MODES) for x in (F.lit(m), F.lit(float(i)))]
-    return F.element_at(F.create_map(*pairs), F.col(column))
+    return (F.array_position(F.array(*[F.lit(m) for m in MODES]), F.col(column)) - 1).cast("int")
 
 
-def _mode_name(column: str) -> Column:
-    return F.get(F.array(*[F.lit(m) for m in MODES]), F.col(column).cast("int"))
+def _mode_name(index: Column) -> Column:
+    return F.get(F.array(*[F.lit(m) for m in MODES]), index)
 
 
-def _assembled(frame: DataFrame) -> DataFrame:
-    """Feature vector; a missing feature counts as zero."""
+def whole_features(frame: DataFrame) -> Column:
+    """The model's inputs as whole numbers; a missing feature counts as zero."""
     have = set(frame.columns)
-    filled = {f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in FEATURE_COLUMNS}
-    assembler = VectorAssembler(inputCols=list(filled), outputCol="features")
-    return assembler.transform(frame.withColumns(filled)).drop(*filled)
+    return F.array(*[whole(F.col(c)) if c in have else F.lit(0).cast("long") for c in FEATURE_COLUMNS])
 
 
 @dataclass
 class ModeModel:
     """A trained tree with its metrics; also usable as an ensemble classifier."""
 
-    tree: DecisionTreeClassificationModel | None = None
+    tree: Tree | None = None
     metrics: dict = field(default_factory=dict)
     cfg: TripConfig = TripConfig()
     name: str = "ml_baseline"
@@ -50,40 +45,47 @@ class ModeModel:
     def _features(self, pts: DataFrame) -> DataFrame:
         return pts if "speed_cv_w10" in pts.columns else point_features(pts, self.cfg)
 
+    def _leaves(self, pts: DataFrame) -> DataFrame:
+        """``_leaf``: the leaf of every row, whose features are made if they are missing."""
+        pts = self._features(pts)
+        return pts.withColumn("_f", whole_features(pts)).withColumn("_leaf", self.tree.leaf(F.col("_f")))
+
+    def _mode(self) -> Column:
+        choices = [self.tree.choice(n) for n in range(len(self.tree.left))]
+        return _mode_name(F.get(constant(choices, "int"), F.col("_leaf")))
+
     def score(self, pts: DataFrame, by: Sequence[str], out: str) -> DataFrame:
         """Class probabilities in mode order; zeros when untrained."""
         if self.tree is None:
             return pts.withColumn(out, score_array())
-        keep = pts.columns
-        scored = self.tree.transform(_assembled(self._features(pts)))
-        odds = vector_to_array("probability")
-        ranked = {m: F.get(odds, F.lit(i)) for i, m in enumerate(MODES)}
-        return scored.withColumn(out, score_array(**ranked)).select(*keep, out)
+        odds = [self.tree.odds(n) for n in range(len(self.tree.left))]
+        ranked = {m: F.get(constant([o[i] for o in odds], "double"), F.col("_leaf")) for i, m in enumerate(MODES)}
+        return self._leaves(pts).withColumn(out, score_array(**ranked)).select(*[c for c in pts.columns if c != out], out)
 
     def predict(self, pts: DataFrame, out: str = "predicted") -> DataFrame:
         if self.tree is None:
             return pts.withColumn(out, F.lit("unknown"))
-        keep = pts.columns
-        scored = self.tree.transform(_assembled(self._features(pts)))
-        return scored.withColumn(out, _mode_name("prediction")).select(*keep, out)
+        return self._leaves(pts).withColumn(out, self._mode()).select(*[c for c in pts.columns if c != out], out)
 
     def save(self, path: str) -> None:
         """Model directory plus a readable metrics sidecar beside it."""
         if self.tree is None:
             raise ValueError("an untrained model cannot be used here")
-        self.tree.write().overwrite().save(f"{path}/tree")
+        spark = SparkSession.getActiveSession()
+        nodes = spark.createDataFrame([(json.dumps(asdict(self.tree)),)], "value string")
+        nodes.coalesce(1).write.mode("overwrite").text(f"{path}/tree")
         meta = {
-            "version": 1,
+            "version": 2,
             "classes": list(self.metrics.get("per_class", {})),
             "feature_names": list(FEATURE_COLUMNS),
             "metrics": self.metrics,
         }
-        sidecar = SparkSession.getActiveSession().createDataFrame([(json.dumps(meta),)], "value string")
+        sidecar = spark.createDataFrame([(json.dumps(meta),)], "value string")
         sidecar.coalesce(1).write.mode("overwrite").text(f"{path}/metrics")
 
     @classmethod
     def load(cls, spark, path: str, cfg: TripConfig = TripConfig()) -> "ModeModel":
-        tree = DecisionTreeClassificationModel.load(f"{path}/tree")
+        tree = Tree(**json.loads(spark.read.text(f"{path}/tree").first()[0]))
         meta = json.loads(spark.read.text(f"{path}/metrics").first()[0])
         return cls(tree, meta["metrics"] or {}, cfg)
 
@@ -161,27 +163,25 @@ def accuracy(matrix: DataFrame, actual: str = "label", predicted: str = "predict
 def fit(data: DataFrame, max_depth: int = 10, test_fraction: float = 0.2, cfg: TripConfig = TripConfig()) -> ModeModel:
     """Train on a ``training_set`` frame and score the held-out rows."""
     if not 1 <= max_depth <= MAX_DEPTH:
-        raise ValueError(f"max_depth must be between 1 and {MAX_DEPTH}, the limit of the tree library")
-    # counting, fitting and scoring all read the rows: cut the window lineage once
-    ensure_checkpoint_dir(data.sparkSession)
-    data = data.filter(F.col("label").isin(*MODES)).checkpoint()
-    counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}  # five at most
-    total = sum(counts.values())
+        raise ValueError(f"max_depth must be between 1 and {MAX_DEPTH}")
+    # the tree reads its rows once a level: written with the whole features only
+    labelled = data.filter(F.col("label").isin(*MODES))
+    kept = stage(labelled.select("record_id", "label", _mode_index("label").alias("label_index"), whole_features(labelled).alias("features")), "labelled")
+    total = kept.count()
     if total < 10:
+        unstage(kept)
         raise ValueError(f"a tree needs 10 labelled points or more, there are {total}")
     split = test_fraction > 0 and total >= 20
-    rows = hold_out(data, test_fraction if split else 0.0)
+    rows = stage(hold_out(kept, test_fraction if split else 0.0), "split")
     training = rows.filter(~F.col("is_test")) if split else rows
     held_out = rows.filter("is_test") if split else rows
-    weights = class_weights({r["label"]: r["n"] for r in training.groupBy("label").agg(F.count("*").alias("n")).collect()})
-    weight = F.coalesce(*[F.when(F.col("label") == m, w) for m, w in weights.items()])
-    prepared = _assembled(training.withColumns({"_label": _mode_index("label"), "_weight": weight}))
-    tree = DecisionTreeClassifier(
-        labelCol="_label", featuresCol="features", weightCol="_weight", impurity="gini",
-        maxDepth=max_depth, seed=42,
-    ).fit(prepared)
+    counts = {r["label"]: r["n"] for r in training.groupBy("label").agg(F.count("*").alias("n")).collect()}  # five at most
+    weights = class_weights(counts)
+    tree = grow(training, [counts.get(m, 0) for m in MODES], [weights.get(m, 0.0) for m in MODES], max_depth)
     model = ModeModel(tree, {}, cfg)
-    matrix = confusion(model.predict(held_out))
+    judged = held_out.withColumn("_leaf", tree.leaf(F.col("features"))).withColumn("predicted", model._mode())
+    cells = confusion(judged).collect()  # a row for each pair of modes
+    matrix = data.sparkSession.createDataFrame(cells, "label string, predicted string, n bigint")
     scores = {r["mode"]: r.asDict() for r in per_class_metrics(matrix).collect()}
     model.metrics = {
         "accuracy": accuracy(matrix).first()["accuracy"],
@@ -190,9 +190,10 @@ def fit(data: DataFrame, max_depth: int = 10, test_fraction: float = 0.2, cfg: T
             m: {k: scores[m][k] for k in ("precision", "recall", "f1", "support")} for m in MODES if m in scores
         },
         "feature_importances": {
-            c: round(float(tree.featureImportances[i]), 4) for i, c in enumerate(FEATURE_COLUMNS)
+            c: round(v, 4) for c, v in zip(FEATURE_COLUMNS, tree.importances(len(FEATURE_COLUMNS)), strict=True)
         },
     }
+    unstage(kept, rows)
     return model
 
 
