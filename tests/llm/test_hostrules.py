@@ -38,6 +38,26 @@ def test_bad_host_takes_its_documents_along(spark):
     assert all(kept[f"good{h}"] == 19 for h in range(20))
 
 
+def test_each_rule_has_its_own_rate(spark):
+    """Hosts of symbols, repeated lines or single letters fall by those rules though none of their documents fails the base."""
+    words = lambda d: [f"w{d}x{i}" for i in range(30)]
+    kinds = {
+        "fine": lambda d: " ".join(words(d)),
+        "symbols": lambda d: " # ".join(words(d)),
+        "lines": lambda d: "\n".join(x for w in words(d) for x in (w, "same")),
+        "letters": lambda d: " ".join(chr(0x4E00 + 40 * d + i) for i in range(30)),
+    }
+    rows = [(f"{kind}{h}", make(100 * h + d)) for kind, make in kinds.items() for h in range(10 if kind == "fine" else 1) for d in range(20)]
+    docs = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(rows)], "doc_id long, host string, text string")
+    verdicts = {r.host: r for r in hr.host_verdicts(hr.counted(docs), "host").collect()}
+    assert {h for h, r in verdicts.items() if not r.host_ok} == {"symbols0", "lines0", "letters0"}
+    high = lambda h: [k for k in hr.rules() if verdicts[h][f"rate_{k}"] > hr.REJECT]
+    assert (high("symbols0"), high("lines0"), high("letters0")) == (["symbols"], ["dup_lines"], ["short_words"])
+    got = hr.apply_rules(docs, F.col("host"))
+    assert got.filter("kept and base_failed").count() == 0
+    assert got.filter("kept").count() == 200 and got.filter("not kept and not base_failed").count() == 60
+
+
 def test_empty_table_and_one_host(spark):
     docs = spark.createDataFrame([], "doc_id long, host string, text string")
     assert hr.apply_rules(docs, F.col("host")).count() == 0

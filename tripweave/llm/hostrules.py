@@ -1,8 +1,9 @@
 """Quality rules of documents, and of the hosts that they come from.
 
-Five counts a document feed the rules. A document fails its base rules by itself. By host, failed documents are counted, the
-failure rate is shrunk by a beta prior fitted to all hosts' rates (method of moments), and a host whose shrunk rate is above
-``reject`` takes all its documents with it; the verdict is joined back to them.
+Five counts a document feed the rules. A document fails its base rules by itself. By host, the documents that fail are counted rule
+by rule: the base rules together and apart, symbols, repeated lines, words of one letter. Every rule has its own beta prior, fitted to all hosts' rates
+of that rule (method of moments), which shrinks the rates of hosts with few documents. A host with a shrunk rate above ``reject`` in any
+rule takes all its documents with it; the verdict is joined back to them.
 
 Words are runs without white space. Null text has none. Rows without a host (null) share no host: they are judged
 alone. Repeated rows are counted and returned as often as they occur. Empty tables give empty results; further columns are kept.
@@ -22,6 +23,8 @@ from tripweave.sources.storage import stage
 
 #: Words of a window, least words of a document, per cent of its words in repeated windows at most, shrunk failure rate of a host at most.
 WINDOW, LEAST_WORDS, MOST_REPEAT, REJECT = 5, 10, 20, 0.5
+#: Words for each symbol and each repeated line, letters of a word on average, at least.
+WORDS_A_SYMBOL, WORDS_A_DUP_LINE, LEAST_LETTERS = 10, 20, 2
 #: Prior counts where hosts do not differ enough, or are too few, to fit a prior.
 WEAK, STRONG = 2.0, 1e6
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -90,18 +93,36 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
 
 
+def rules() -> dict[str, Column]:
+    """Whether a document with COUNTS fails, by rule. A text without words fails only the rules on its number of words."""
+    return {
+        "base": base_failed(),
+        "few_words": F.col("n_words") < LEAST_WORDS,
+        "repeat_words": 100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"),
+        "symbols": WORDS_A_SYMBOL * F.col("n_symbols") > F.col("n_words"),
+        "dup_lines": WORDS_A_DUP_LINE * F.col("n_dup_lines") > F.col("n_words"),
+        "short_words": F.col("word_chars") < LEAST_LETTERS * F.col("n_words"),
+    }
+
+
 def host_verdicts(judged: DataFrame, host: str, reject: float = REJECT) -> DataFrame:
-    """(host, n, failed, rate, host_ok): one row for each host, of ``judged`` with its boolean ``base_failed``."""
-    hosts = judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    p = F.col("failed") / F.col("n")
-    prior = hosts.agg(
-        F.count("*").alias("hosts"), (F.sum("failed") / F.sum("n")).alias("mean"), F.avg(1 / F.col("n")).alias("small"),
-        F.coalesce(F.var_samp(p), F.lit(0.0)).alias("spread"),
-    )
-    found = prior.first()
-    strength = prior_strength(found.hosts, found.mean, found.small, found.spread)
-    rate = (F.col("failed") + (found.mean or 0.0) * strength) / (F.col("n") + strength)
-    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate <= reject).alias("host_ok"))
+    """(host, n, failed_<rule>.., rate_<rule>.., rate, host_ok): one row for each host of ``judged``, which has the COUNTS;
+    ``rate`` is the greatest of the rules' rates."""
+    names = list(rules())
+    failed = [F.count(F.when(fails, 1)).alias(f"failed_{r}") for r, fails in rules().items()]
+    hosts = judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *failed)
+    prior = [F.count("*").alias("hosts"), F.avg(1 / F.col("n")).alias("small")]
+    for r in names:
+        p = F.col(f"failed_{r}") / F.col("n")
+        prior += [(F.sum(f"failed_{r}") / F.sum("n")).alias(f"mean_{r}"), F.coalesce(F.var_samp(p), F.lit(0.0)).alias(f"spread_{r}")]
+    found = hosts.agg(*prior).first()  # one row
+    rates = {}
+    for r in names:
+        mean = found[f"mean_{r}"] or 0.0
+        strength = prior_strength(found.hosts, mean, found.small, found[f"spread_{r}"])
+        rates[f"rate_{r}"] = (F.col(f"failed_{r}") + mean * strength) / (F.col("n") + strength)
+    worst = F.greatest(*rates)
+    return hosts.withColumns(rates).withColumn("rate", worst).withColumn("host_ok", F.col("rate") <= reject)
 
 
 def prior_strength(hosts: int, mean: float | None, small: float | None, spread: float) -> float:
@@ -113,7 +134,7 @@ def prior_strength(hosts: int, mean: float | None, small: float | None, spread:
 
 
 def apply_rules(docs: DataFrame, host: Column, reject: float = REJECT) -> DataFrame:
-    """Counts, ``base_failed``, the host's shrunk ``rate`` and ``kept`` of every document; the text goes. These replace columns of their
+    """Counts, ``base_failed``, the host's greatest shrunk ``rate`` and ``kept`` of every document; the text goes. These replace columns of their
     names; all others stay, whatever they are called."""
     kept = [c for c in docs.columns if c not in ("base_failed", "rate", "kept")]
     host_name = tx.free_name("rule_host", docs.columns)

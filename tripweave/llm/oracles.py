@@ -77,11 +77,20 @@ c AS (
          CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(rw.n, 0) > 20 * len(w) AS base_failed
   FROM d LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id)),
-h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS failed FROM c WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT count(*) AS hosts, sum(failed) / sum(n) AS mean, avg(1 / n) AS small, coalesce(var_samp(failed / n), 0) AS spread FROM h),
-s AS (SELECT mean, CASE WHEN hosts < 2 THEN 2 WHEN spread - mean * (1 - mean) * small <= 0 THEN 1e6
-                        ELSE least(1e6, greatest(2, mean * (1 - mean) / (spread - mean * (1 - mean) * small) - 1)) END AS strength FROM p),
-v AS (SELECT source, (failed + mean * strength) / (n + strength) <= 0.5 AS ok FROM h, s)
+"""
+_RULES = {
+    "base": "base_failed", "few_words": "n_words < 10", "repeat_words": "100 * n_repeat_words > 20 * n_words", "symbols": "10 * n_symbols > n_words",
+    "dup_lines": "20 * n_dup_lines > n_words", "short_words": "word_chars < 2 * n_words",
+}
+for _r, _fails in _RULES.items():
+    HOST_RULES += f"""
+h_{_r} AS (SELECT source, count(*) AS n, count(*) FILTER ({_fails}) AS failed FROM c WHERE source IS NOT NULL GROUP BY source),
+p_{_r} AS (SELECT count(*) AS hosts, sum(failed) / sum(n) AS mean, avg(1 / n) AS small, coalesce(var_samp(failed / n), 0) AS spread FROM h_{_r}),
+s_{_r} AS (SELECT mean, CASE WHEN hosts < 2 THEN 2 WHEN spread - mean * (1 - mean) * small <= 0 THEN 1e6
+  ELSE least(1e6, greatest(2, mean * (1 - mean) / (spread - mean * (1 - mean) * small) - 1)) END AS strength FROM p_{_r}),
+v_{_r} AS (SELECT source, (failed + mean * strength) / (n + strength) <= 0.5 AS ok FROM h_{_r}, s_{_r}),"""
+HOST_RULES += f"""
+v AS (SELECT source, bool_and(ok) AS ok FROM ({" UNION ALL ".join(f"SELECT source, ok FROM v_{_r}" for _r in _RULES)}) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept
 FROM c LEFT JOIN v USING (source)
 """
