@@ -28,8 +28,8 @@ from tripweave.sources.storage import stage, unstage
 
 #: Labelled documents that the model is fitted on.
 TRAIN_ROWS = 20_000
-#: Words and beginnings kept for the score, and toxic documents that each must be in.
-SIGNS, SUPPORT = 500, 3
+#: Toxic documents that a word or beginning must be in to be a sign.
+SUPPORT = 3
 #: Signs that a task counts before it hands them on.
 FLUSH = 1_000_000
 #: Bytes of a word's beginnings, and the least log odds of a sign.
@@ -285,11 +285,11 @@ def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def best_signs(sums: DataFrame, n_bad: int, n_good: int, most: int = SIGNS) -> DataFrame:
-    """Of all (sign, bad, good), the ``most`` signs with the greatest odds, weighted by the toxic documents that have them."""
+def best_signs(sums: DataFrame, n_bad: int, n_good: int) -> DataFrame:
+    """Of all (sign, bad, good), the signs of ``SUPPORT`` toxic documents or more whose log odds are above ``LEAST``; as many as the sample has."""
     odds = F.log((F.col("bad") + 0.2) / (n_bad + 0.4)) - F.log((F.col("good") + 0.2) / (n_good + 0.4))
     fit_for = sums.withColumn("odds", odds).filter((F.col("bad") >= SUPPORT) & (F.col("odds") > LEAST))
-    return fit_for.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "sign").limit(most)
+    return fit_for
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
