@@ -11,7 +11,7 @@ from tripweave.config import MODES
 from tripweave.functions import modes
 from tripweave.operators import analytics as A, labels as L, model as M, review as R
 from tripweave.operators.features import FEATURE_COLUMNS, point_features, training_set
-from tripweave.sources.storage import scratch_path
+from tripweave.sources.storage import scratch_path, stage, unstage
 
 _E = '"user", device'
 _ENT = ["user", "device"]
@@ -356,8 +356,12 @@ def labelled_training_set_m2(spark, sf):
 
 
 def _model(spark, sf):
-    pts = points(spark, sf)
-    return pts, M.train_from_labels(pts, label_log(A.segments(pts)), cfg=CFG)
+    # read by the log, the training and the judging: written once
+    pts = stage(points(spark, sf), "points")
+    log = stage(label_log(A.segments(pts)), "log")
+    model = M.train_from_labels(pts, log, cfg=CFG)
+    unstage(log)
+    return pts, model
 
 
 @register(

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.operators.exact_tree import RADIX, grow, histogram, prefix_sums, whole
+from tripweave.operators import exact_tree
+from tripweave.operators.exact_tree import RADIX, constant, grow, histogram, prefix_sums, whole
 
 
 def purity(counts, weights):
@@ -85,3 +86,26 @@ def test_plan_has_no_window_over_a_whole_feature(spark):
     specs = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window")]
     over_values = [s for s in specs if "value#" in s.rsplit("[", 1)[-1]]
     assert over_values and all("block#" in s for s in over_values)
+
+
+def test_constant_arrays_are_literals(spark):
+    """A lambda over the array would run again for every row and level, longer with every node."""
+    plan = spark.range(3).select(F.get(constant([4, 5], "bigint"), F.col("id").cast("int")).alias("x"))
+    assert [r.x for r in plan.orderBy("id").collect()] == [4, 5, None]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "[4,5]" in text and "split(" not in text
+
+
+def test_counts_of_a_level_are_made_once(spark, monkeypatch):
+    read = []
+    best = exact_tree.best_splits
+
+    def noted(hist, nodes, weights):
+        read.append(len(hist.inputFiles()))
+        return best(hist, nodes, weights)
+
+    monkeypatch.setattr(exact_tree, "best_splits", noted)
+    rows = [((i, i % 3), int(i % 7 > 3)) for i in range(50)]
+    counts = [sum(y == c for _, y in rows) for c in range(2)]
+    grow(frame(spark, rows), counts, [1.0, 1.0], 3)
+    assert len(read) == 3 and all(read)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions.numeric import stable_round
+from tripweave.sources.storage import stage, unstage
 
 #: Decimals of a feature that count, and the largest whole number used for one.
 DECIMALS = 3
@@ -95,9 +96,9 @@ class Tree:
 
 
 def constant(values: Sequence, kind: str) -> Column:
-    """A constant array; folded once by the optimizer."""
+    """A constant array. A cast of the whole array is folded to a literal by the optimizer, a lambda over it would run for every row."""
     text = ",".join(map(str, values))
-    return F.transform(F.split(F.lit(text), ","), lambda x: x.cast(kind))
+    return F.split(F.lit(text), ",").cast(f"array<{kind}>")
 
 
 def histogram(rows: DataFrame, classes: int, features: str = "features", label: str = "label_index") -> DataFrame:
@@ -173,7 +174,10 @@ def grow(rows: DataFrame, counts: Sequence[int], weights: Sequence[float], max_d
         nodes = spark.createDataFrame([(n, *tree.counts[n]) for n in level], schema)
         is_open = constant([int(n in set(level)) for n in range(len(tree.left))], "int")
         placed = rows.withColumn("node", tree.leaf(F.col("features"))).filter(F.get(is_open, F.col("node")) == 1)
-        found = best_splits(histogram(placed, len(weights)), nodes, weights).collect()  # one row a node
+        # three sums read the counts: made once and written
+        hist = stage(histogram(placed, len(weights)), "histogram")
+        found = best_splits(hist, nodes, weights).collect()  # one row a node
+        unstage(hist)
         level = []
         for r in sorted(found, key=lambda r: r["node"]):
             node, lefts = r["node"], list(r["lefts"])
