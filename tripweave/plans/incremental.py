@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripweave.config import ENTITY, TripConfig, Zones
 from tripweave.operators.sequence import locate
-from tripweave.plans.process import drop_malformed, process
+from tripweave.plans.process import drop_malformed, keep_locations, packed, process
 from tripweave.sources.points import PARTITIONS, points_table, settle_buckets, with_bucket, write_partitions
 from tripweave.sources.raw import parse_payload, read_raw_records
 from tripweave.sources.storage import ensure_checkpoint_dir, stage, unstage
@@ -143,7 +143,8 @@ def refresh(
         known.drop(*COMPUTED, *_SPAN)
         .unionByName(fresh.drop(*COMPUTED), allowMissingColumns=True)
     )
-    redone = process(context, labels, zones, cfg, tz_regions, entity=entity)
+    narrow, unpacked = packed(keep_locations(context), entity)
+    redone = unpacked(process(narrow, labels, zones, cfg, tz_regions, entity=entity))
     # written once to the shared folder: the partitions touched and the rows are both read from it
     redone = stage(redone.join(spans, key).filter(_replaced()).drop(*_SPAN), "redone")
 

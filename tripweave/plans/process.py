@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -69,12 +69,31 @@ def process(
     return apply_corrections(pts, labels, entity)
 
 
+# what enrichment, trips, segments and corrections read of a point beside its entity
+_READ = ("record_id", "lat", "lon", "tst", "timestamp", "timestamp_local", "local_date")
+
+
+def packed(pts: DataFrame, entity: Sequence[str] = ENTITY) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``pts`` with all columns that no step reads as one, ``_carried``, so that sorts and windows copy one value of a row instead of each;
+    and the way back."""
+    rest = [c for c in pts.columns if c not in (*entity, *_READ)]
+    if len(rest) < 2:
+        return pts, lambda done: done
+
+    def unpacked(done: DataFrame) -> DataFrame:
+        made = [c for c in done.columns if c != "_carried"]  # a computed column replaces one of its name
+        return done.select(*made, *[F.col("_carried").getField(c).alias(c) for c in rest if c not in made])
+
+    return pts.select(*[c for c in pts.columns if c not in rest], F.struct(*rest).alias("_carried")), unpacked
+
+
 def process_staged(
     pts: DataFrame, labels: DataFrame | None = None, zones: Zones = Zones(), cfg: TripConfig = TripConfig(), tz_regions=None,
 ) -> tuple[DataFrame, DataFrame]:
     """``process`` with the trip points written once, so that trips of days or months are cut in time shards; also that table, to be unstaged."""
-    trips = stage(enrich_and_detect(drop_malformed(keep_locations(pts)), cfg, tz_regions), "trips")
-    return apply_corrections(segment_staged(trips, build_ensemble(zones, cfg), cfg), labels), trips
+    narrow, unpacked = packed(drop_malformed(keep_locations(pts)))
+    trips = stage(enrich_and_detect(narrow, cfg, tz_regions), "trips")
+    return unpacked(apply_corrections(segment_staged(trips, build_ensemble(zones, cfg), cfg), labels)), trips
 
 
 @dataclass(frozen=True)
